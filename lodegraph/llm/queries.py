@@ -7,8 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import norm_enum, norm_id, table
-from . import mixing, spans, tokens
+from ..tables import table
+from . import docs, mixing, neighbours, pieces, spans, tokens
+
+
+BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(12288)"
+
+
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.split_entities(table(spark, d, "code_entities")).withColumnRenamed("item", "entity_id")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_pieces(spark, d).select("entity_id").distinct()
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = docs.documented_functions(table(spark, d, "code_entities"), keep_code=False)
+    return found.where("source <> 'declaration'").select("entity_id")
+
+
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docs.documented_functions(table(spark, d, "code_entities"))
+
+
+#: The distance of unit vectors at a cosine of 0.90, and a little for rounding.
+RADIUS = (2 - 2 * 0.90) ** 0.5 + 1e-5
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    vectors = neighbours.cut(neighbours.usable_vectors(table(spark, d, "code_entities")))
+    found = neighbours.nearest(vectors, 10, radius=RADIUS)
+    return neighbours.mutual_pairs(found, 0.90).select(F.col("a").alias("entity_id_a"), F.col("b").alias("entity_id_b"))
+
+
+def p4_knn(spark: SparkSession, d: str) -> DataFrame:
+    vectors = neighbours.cut(neighbours.usable_vectors(table(spark, d, "code_entities")))
+    asked = vectors.where(neighbours.divisible_by("id", 20))
+    found = neighbours.nearest(vectors, 10, queries=asked, factor=0.7)
+    return found.select(F.col("q").alias("entity_id"), F.col("x").alias("neighbour_id"), "rank", F.round("cosine", 6).alias("cosine"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -32,8 +69,9 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_ids, p9_mix, p9_shares, p10_found, p10_shared)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_pairs, p4_found, p4_knn, p8_ids, p9_mix, p9_shares, p10_found, p10_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    nid = f"nullif(lower(trim(id, {BLANKS_SQL})), '')"
+    return {"p1_found": f"select distinct {nid} as entity_id from code_entities where length(content) > 2048 and {nid} is not null"}
