@@ -4,7 +4,7 @@ Documents come in batches. Each batch's winnowed fingerprints (see winnow.py) ar
 hash, in the shared folder; the run is merge-joined with the runs before it (same buckets: no shuffle), which gives the hashes
 that two different texts share; when there are many runs they are compacted into one that keeps, for each hash, one text and
 whether there are more. Any span of min_span characters holds a fingerprint, so no shared span is missed. Only around shared
-fingerprints are the windows of exactly min_span characters compared, by a 128-bit digest: each window belongs to the
+fingerprints are the windows of exactly min_span characters compared, by a 96-bit digest: each window belongs to the
 fingerprint chosen from it, so each is compared once. What those windows cover is the result, exactly.
 
 Nothing is done by pairs: a fingerprint or window in a million documents is a million rows of a partial aggregation. Copies of a
@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from ..session import cut, shared_dir
 from .common import small_batches
-from .winnow import code_points, fingerprints, window_hashes
+from .winnow import chosen, code_points, fingerprints, window_hashes
 
 MIN_SPAN = 200
-_POSTINGS = "h long, owner binary, pos int"
+_POSTINGS = "h long, owner long"
 
 
 def _split(min_span: int) -> tuple[int, int]:
@@ -45,15 +45,13 @@ def _post(min_span: int):
         for batch in batches:
             owners, texts = batch.column(0), batch.column(1)
             for at in range(0, len(texts), 200):
-                hs, ps, ns = [], [], []
+                hs, ns = [], []
                 for i in range(at, min(at + 200, len(texts))):
-                    p, h = fingerprints(code_points(texts[i].as_py()), gram, window)
-                    h, first = np.unique(h, return_index=True)  # one posting for a hash and text
+                    h = np.unique(fingerprints(code_points(texts[i].as_py()), gram, window)[1])
                     hs.append(h)
-                    ps.append(p[first])
                     ns.append(len(h))
                 which = pa.array(np.repeat(np.arange(at, at + len(ns)), ns))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), owners.take(which), pa.array(np.concatenate(ps).astype(np.int32))], names=["h", "owner", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), owners.take(which)], names=["h", "owner"])
 
     return run
 
@@ -67,12 +65,7 @@ def _windows(min_span: int):
             owners, texts, marked = batch.column(0), batch.column(1), batch.column(2)
             for i in range(len(texts)):
                 points = code_points(texts[i].as_py())
-                wanted = np.sort(marked[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
-                p, h = fingerprints(points, gram, window)
-                p = p[np.isin(h, wanted)]
-                # a window that starts at s holds the grams s ... s + window - 1; those around a wanted fingerprint
-                starts = np.unique((p[:, None] - np.arange(window)[None, :]).ravel()) if len(p) else np.empty(0, np.int64)
-                starts = starts[(starts >= 0) & (starts <= len(points) - min_span)]
+                starts = chosen(points, gram, window, marked[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
                 for lo in range(0, len(starts), 1 << 16):
                     some = starts[lo : lo + (1 << 16)]
                     a, b = np.empty(len(some), np.uint64), np.empty(len(some), np.uint64)
@@ -83,15 +76,15 @@ def _windows(min_span: int):
                         a[base:end] = window_hashes(part, min_span, 1)[some[base:end] - some[base]]
                         b[base:end] = window_hashes(part, min_span, 2)[some[base:end] - some[base]]
                         base = end
-                    owner = owners.take(pa.array(np.full(len(some), i)))
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), owner, pa.array(some.astype(np.int32))], names=["a", "b", "owner", "start"])
+                    owner = pa.array(np.full(len(some), owners[i].as_py(), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32)), owner, pa.array(some.astype(np.int32))], names=["a", "b", "owner", "start"])
 
     return run
 
 
 class FingerprintIndex:
     """Sorted runs of (h, low, high): for each hash the least and the greatest text that has it, so low <> high says that
-    different texts share it. Runs are only ever added, merge-joined and compacted."""
+    different texts share it. A text is known by a 64-bit digest; runs are only ever added, merge-joined and compacted."""
 
     def __init__(self, spark, buckets: int, compact_at: int = 4) -> None:
         self.spark, self.buckets, self.compact_at = spark, buckets, compact_at
@@ -106,7 +99,7 @@ class FingerprintIndex:
     def add(self, postings: DataFrame) -> DataFrame:
         """Adds a batch; returns the hashes that are now known to be shared and of which a text is in this batch."""
         entries = postings.groupBy("h").agg(F.min("owner").alias("low"), F.max("owner").alias("high"))
-        run = self._write(entries.repartition(self.buckets, "h"))
+        run = self._write(entries)
         fresh = self.spark.table(run)
         found = fresh.where("low <> high").select("h")
         for old in self.runs:
@@ -123,7 +116,7 @@ class FingerprintIndex:
         every = self.spark.table(self.runs[0])
         for r in self.runs[1:]:
             every = every.unionByName(self.spark.table(r))
-        merged = self._write(every.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).repartition(self.buckets, "h"))
+        merged = self._write(every.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")))
         for r in self.runs:
             self.spark.sql(f"drop table {r}")
         self.runs = [merged]
@@ -138,11 +131,11 @@ class FingerprintIndex:
 
 def shared_windows(docs: DataFrame, min_span: int = MIN_SPAN, batches: int = 3, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(owners, windows): the texts (owner, doc_id, n_chars) and the windows (owner, start) of min_span characters that
-    stand in different texts. An owner is the digest of a text."""
+    stand in different texts. An owner is the 64-bit digest of a text."""
     spark = docs.sparkSession
     small_batches(spark, 500)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.char_length("text") >= min_span).withColumn("owner", F.unhex(F.md5("text")))
-    owners = texts.select("owner", "doc_id", F.char_length("text").alias("n_chars"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.char_length("text") >= min_span).withColumn("owner", F.xxhash64("text"))
+    owners = texts.select("owner", F.md5("text").alias("digest"), "doc_id", F.char_length("text").alias("n_chars"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = FingerprintIndex(spark, buckets)
     postings = []
@@ -160,12 +153,23 @@ def shared_windows(docs: DataFrame, min_span: int = MIN_SPAN, batches: int = 3,
     for name in postings:
         spark.sql(f"drop table {name}")
     index.close()
-    one = texts.join(marked, "owner").groupBy("owner").agg(F.first("text").alias("text"), F.first("marked").alias("marked"))
-    windows = cut(one.select("owner", "text", "marked").mapInArrow(_windows(min_span), "a long, b long, owner binary, start int"))
-    keys = windows.groupBy("a", "b").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).where("low <> high").select("a", "b")
+    likely = _maybe_in(texts, marked)
+    one = likely.join(marked, "owner").groupBy("owner").agg(F.first("text").alias("text"), F.first("marked").alias("marked"))
+    windows = one.select("owner", "text", "marked").mapInArrow(_windows(min_span), "a long, b int, owner long, start int")
+    keys = cut(windows.groupBy("a", "b").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).where("low <> high").select("a", "b"))
     return owners, windows.join(keys, ["a", "b"]).select("owner", "start")
 
 
+def _maybe_in(texts: DataFrame, marked: DataFrame, bits: int = 1 << 26) -> DataFrame:
+    """The texts whose owner may be among the marked ones, by a bit map of fixed size (8 MB at most, whatever the data), so
+    that the texts of the others are not shuffled. A set bit may belong to another owner: a join has to follow."""
+    slot = F.pmod(F.col("owner"), F.lit(bits))
+    maps = marked.select(F.bitmap_bucket_number(slot).alias("_part"), F.bitmap_bit_position(slot).alias("_bit")).groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return texts.withColumn("_part", F.bitmap_bucket_number(slot)).withColumn("_at", at).join(F.broadcast(maps), "_part").where(F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0).drop("_part", "_at", "_map")
+
+
 def shared_spans(docs: DataFrame, min_span: int = MIN_SPAN, batches: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, copies, spans, shared_chars): for each document that shares a span its length, the number of
     documents with the same whole text, the maximal shared stretches as structs (start, end), and how many characters these
@@ -179,8 +183,8 @@ def shared_spans(docs: DataFrame, min_span: int = MIN_SPAN, batches: int = 3, id
                 concat(slice(acc, 1, size(acc) - 1), array(struct(acc[size(acc) - 1].start as start, s + {min_span} as end))),
                 concat(acc, array(struct(s as start, s + {min_span} as end)))))"""
     )
-    copies = owners.groupBy("owner").agg(F.countDistinct("doc_id").alias("copies"))
+    copies = owners.groupBy("digest").agg(F.countDistinct("doc_id").alias("copies"))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_chars").alias("end")))
-    out = owners.join(copies, "owner").join(starts, "owner", "left").where("copies > 1 or starts is not null")
+    out = owners.join(copies, "digest").join(starts, "owner", "left").where("copies > 1 or starts is not null")
     out = out.withColumn("spans", F.when(F.col("copies") > 1, whole).otherwise(spans))
     return out.select("doc_id", "n_chars", "copies", "spans", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("shared_chars"))

@@ -44,6 +44,30 @@ def window_hashes(points: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
         return _mixed((sums[width:] - sums[:-width]) * down[:n])
 
 
+def _least(h: np.ndarray, window: int) -> np.ndarray:
+    """For each window of hashes the place of the least one, of equal ones the last; by blocks, in three passes."""
+    m = len(h)
+    key = (h & ~_LOW) | (_LOW - np.arange(m, dtype=np.uint64))
+    padded = np.full(-(-m // window) * window, np.iinfo(np.uint64).max, np.uint64)
+    padded[:m] = key
+    grid = padded.reshape(-1, window)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (_LOW - (np.minimum(behind[: m - window + 1], ahead[window - 1 : m]) & _LOW)).astype(np.int64)
+
+
+def chosen(points: np.ndarray, gram: int, window: int, wanted: np.ndarray) -> np.ndarray:
+    """The starts of the windows of gram + window - 1 code points whose fingerprint is one of the sorted hashes wanted."""
+    n, out = len(points) - gram + 1, []
+    for start in range(0, n - window + 1, SEGMENT):
+        h = window_hashes(points[start : min(start + SEGMENT + window - 1, n) + gram - 1], gram)
+        at = _least(h, window)
+        keep = np.unique(at)
+        keep = keep[np.isin(h[keep], wanted)]
+        out.append(np.flatnonzero(np.isin(at, keep)) + start)
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
 def fingerprints(points: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the grams that are the least of some ``window`` consecutive grams (of equal ones the last).
 
@@ -55,16 +79,8 @@ def fingerprints(points: np.ndarray, gram: int, window: int) -> tuple[np.ndarray
     where, what = [], []
     for start in range(0, n - window + 1, SEGMENT):
         h = window_hashes(points[start : min(start + SEGMENT + window - 1, n) + gram - 1], gram)
-        m = len(h)
-        key = (h & ~_LOW) | (_LOW - np.arange(m, dtype=np.uint64))
-        padded = np.full(-(-m // window) * window, np.iinfo(np.uint64).max, np.uint64)
-        padded[:m] = key
-        grid = padded.reshape(-1, window)
-        ahead = np.minimum.accumulate(grid, axis=1).ravel()
-        behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = np.minimum(behind[: m - window + 1], ahead[window - 1 : m])
-        kept = least[np.concatenate([[True], least[1:] != least[:-1]])]
-        at = np.unique((_LOW - (kept & _LOW)).astype(np.int64))
+        least = _least(h, window)
+        at = np.unique(least[np.concatenate([[True], least[1:] != least[:-1]])])
         where.append(at + start)
         what.append(h[at])
     where, what = np.concatenate(where), np.concatenate(what)
