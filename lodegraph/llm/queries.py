@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import docs, mixing, neighbours, pieces, spans, tokens
+from . import docs, handwritten, mixing, neighbours, parsing, pieces, spans, tokens
 
 
 BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(12288)"
@@ -48,6 +48,22 @@ def p4_knn(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("q").alias("entity_id"), F.col("x").alias("neighbour_id"), "rank", F.round("cosine", 6).alias("cosine"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.unparsable(table(spark, d, "code_entities")).select("repository_id", "file_path").distinct()
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.parse_rates(parsing.check_files(table(spark, d, "code_entities")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "code_entities")).select("entity_id")
+
+
+def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "code_entities"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"), ["doc_id"])
 
@@ -69,7 +85,7 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_pairs, p4_found, p4_knn, p8_ids, p9_mix, p9_shares, p10_found, p10_shared)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_pairs, p4_found, p4_knn, p5_found, p5_rates, p6_found, p6_kinds, p8_ids, p9_mix, p9_shares, p10_found, p10_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
