@@ -1,0 +1,126 @@
+"""Retrieval: candidates by vector, thresholds, re-ranking, diversification, task adaptation and result rows."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..functions import constants as K
+
+
+def score_against(vectors: DataFrame, query: list[float], vector: str = "embedding", score: str = "cosine") -> DataFrame:
+    """Adds ``score``: the similarity of each row's vector to one query, by matrix products on Arrow batches. score: cosine,
+    normalized ((1 + cosine) / 2) or distance (of the squared Euclidean distance). Null where there is no usable vector."""
+    q = np.array(query, np.float64)
+
+    @F.pandas_udf("double")
+    def sim(v: pd.Series) -> pd.Series:
+        ok = v.map(lambda x: x is not None and len(x) == len(q))
+        out = np.full(len(v), np.nan)
+        if ok.any():
+            x = np.stack(v[ok].to_numpy()).astype(np.float64)
+            if score == "distance":
+                out[ok.to_numpy()] = ((x - q) ** 2).sum(1)
+            else:
+                norms = np.linalg.norm(x, axis=1) * np.linalg.norm(q)
+                out[ok.to_numpy()] = np.divide(x @ q, norms, out=np.zeros(len(x)), where=norms > 0)
+        return pd.Series(out)
+
+    raw = F.nanvl(sim(vector), F.lit(None).cast("double"))
+    value = C.distance_score(raw) if score == "distance" else C.normalized_score(raw) if score == "normalized" else raw
+    return vectors.withColumn("score", value)
+
+
+def matching(df: DataFrame, repository: str | None = None, types: list[str] | None = None, languages: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """The rows a request allows; applied before any ranking, so the conditions reach the scan. path is a glob."""
+    from ..sources.filters import glob_regex
+
+    if repository is not None:
+        df = df.where(F.col("repository_id") == repository)
+    if types:
+        df = df.where(F.col("entity_type").isin(types))
+    if languages:
+        df = df.where(F.col("language").isin(languages))
+    return df.where(F.col("file_path").rlike(glob_regex(path))) if path else df
+
+
+def top_k(scored: DataFrame, k: int, key: str = "id") -> DataFrame:
+    """The k best rows by score; ties by key."""
+    return scored.where("score is not null").orderBy(F.desc("score"), key).limit(k)
+
+
+def ranked(scored: DataFrame, k: int, key: str = "id", threshold: float | None = None) -> DataFrame:
+    """The k best rows with their rank from 1. The window has at most k rows."""
+    some = scored if threshold is None else scored.where(F.col("score") >= threshold)
+    return top_k(some, k, key).withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), key)))
+
+
+def hybrid(scored: DataFrame, text: str, kind: str = "entity_type") -> DataFrame:
+    return scored.withColumn("score", F.least(F.lit(1.0), F.col("score") + C.type_bonus(kind, text)))
+
+
+def diversify(scored: DataFrame, k: int, group: str = "file_path", key: str = "id") -> DataFrame:
+    """The k best rows of which, past the first half, no more than a fifth of k come from one group; rank counts anew.
+
+    Equivalent to accepting rows greedily in order of score. Of each group only the first k/5 rows and of all rows only the
+    first k/2 can be accepted, so only those are kept before they are brought together."""
+    half, fifth = k // 2, max(1, k // 5)
+    base = scored.where("score is not null")
+    own = base.withColumn("_g", F.row_number().over(W.partitionBy(group).orderBy(F.desc("score"), key))).where(F.col("_g") <= fifth).drop("_g").orderBy(F.desc("score"), key).limit(k + half)
+    first = top_k(base, half, key)
+    both = own.withColumn("_own", F.lit(True)).unionByName(first.withColumn("_own", F.lit(False)))
+    one = both.dropDuplicates([key])
+    return one.drop("_own").withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
+
+
+def adapt_to_task(results: DataFrame, task: str, kind: str = "entity_type", key: str = "id") -> DataFrame:
+    """Results for a task: those under its threshold dropped, its types raised by 0.2, and the best as two tiers: the first
+    half of its number primary, the rest supporting."""
+    types, _, most, threshold = K.TASK_SETTINGS.get(task, K.TASK_SETTINGS[K.DEFAULT_TASK])
+    kept = results.where(F.col("score") >= threshold).withColumn("score", F.when(F.col(kind).isin(types), F.least(F.lit(1.0), F.col("score") + 0.2)).otherwise(F.col("score")))
+    out = top_k(kept, most, key).withColumn("task_rank", F.row_number().over(W.orderBy(F.desc("score"), key)))
+    return out.withColumn("tier", F.when(F.col("task_rank") <= most // 2, "primary").otherwise("supporting"))
+
+
+def overall_confidence(results: DataFrame) -> DataFrame:
+    """One row: scores weighted by 1/rank, rounded to three places; 0 without results."""
+    return results.agg(F.round(F.coalesce(F.sum(F.col("score") / F.col("rank")) / F.sum(F.lit(1.0) / F.col("rank")), F.lit(0.0)), 3).alias("confidence"))
+
+
+def quality(results: DataFrame, most: int) -> DataFrame:
+    """One row: mean score, and how many scores over 0.7 there are for the ten (or most) wanted."""
+    return results.agg(F.round(F.avg("score"), 6).alias("relevance"), F.least(F.lit(1.0), F.count_if(F.col("score") > 0.7) / float(min(10, most))).alias("coverage"))
+
+
+def result_rows(results: DataFrame, types: list[str], languages: list[str], reason: Column | str = "semantic_similarity") -> DataFrame:
+    """Results as rows to show: score to three places, location, number of lines and why."""
+    why = F.lit(reason) if isinstance(reason, str) else reason
+    return results.select(
+        "id", "name", "entity_type", "file_path", "language", F.round("score", 3).alias("confidence_score"), C.line_count("start_line", "end_line").alias("line_count"),
+        C.location("file_path", "start_line", "end_line").alias("location"), C.explanation(why, "score", "entity_type", types, "language", languages).alias("explanation"), "rank",
+    )
+
+
+def insights(results: DataFrame, most: int) -> DataFrame:
+    """One row: numbers by type, language and file, the range of scores, and suggestions."""
+    maps = [F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("k"), F.col("n"))))).alias("m")]
+    count = lambda c: results.groupBy(F.coalesce(F.col(c), F.lit("unknown")).alias("k")).agg(F.count(F.lit(1)).alias("n")).agg(*maps).select(F.col("m").alias(f"{c}_counts"))
+    stats = results.agg(F.count(F.lit(1)).alias("results"), F.min("score").alias("least"), F.max("score").alias("greatest"), F.avg("score").alias("mean"), F.countDistinct("file_path").alias("files"))
+    few = F.when(F.col("results") < most // 2, "Consider lowering the confidence threshold for more results")
+    near = F.when(F.col("files") < 3, "Results are concentrated in few files - consider broader search")
+    out = stats.withColumn("suggestions", F.filter(F.array(few, near), lambda x: x.isNotNull()))
+    for c in ("entity_type", "language", "file_path"):
+        out = out.crossJoin(count(c))
+    return out
+
+
+def context_summary(results: DataFrame, task: str) -> DataFrame:
+    """One row with a sentence about the results."""
+    kinds = results.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("r")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "n", "entity_type"))), lambda x: F.concat(x["n"].cast("string"), F.lit(" "), x["entity_type"], F.when(x["n"] > 1, "s").otherwise(""))), ", ").alias("kinds"))
+    n = results.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file_path").alias("files"))
+    text = F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(f" relevant entities for {task} task. Spanning "), F.col("files").cast("string"), F.lit(" files. Including: "), F.col("kinds"), F.lit("."))
+    return n.crossJoin(kinds).select(F.when(F.col("n") > 0, text).otherwise("No relevant context found.").alias("summary"))
