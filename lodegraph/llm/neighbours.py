@@ -286,7 +286,9 @@ def nearest(vectors: DataFrame, k: int, queries: DataFrame | None = None, radius
 
     vectors, queries: as usable_vectors gives them; queries are ids to be searched, all rows by default. Without a radius a
     first search in each query's own shard finds how far the search has to reach in the others."""
-    some = [r.vec for r in vectors.select("vec", F.xxhash64("id").alias("h")).orderBy("h").limit(sample).select("vec").collect()]
+    rows = max(1, vectors.count())
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, 1.25 * sample / rows + 0.01 * (rows < 100 * sample)) * (1 << 30))
+    some = [r.vec for r in vectors.where(share).select("vec", F.xxhash64("id").alias("h")).orderBy("h").limit(sample).select("vec").collect()]
     routing = build_routing(np.frombuffer(b"".join(map(bytes, some)), "<f4").reshape(-1, dim) if some else np.empty((0, dim), np.float32))
     placed = cut(vectors.select("id", "vec").mapInArrow(_assign(pickle.dumps(routing), dim), "id string, vec binary, leaf int, far double, near double"))
     for r in placed.where("id is null").groupBy("leaf").agg(F.max("far").alias("far"), F.min("near").alias("near")).collect():
