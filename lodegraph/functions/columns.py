@@ -185,7 +185,7 @@ def task_scores(text: Column | str) -> Column:
     """Array of (score, order, task): for each task +1 per pattern within the text, +1 more if it stands between blanks.
     The text is lowered and padded once and bound to a name."""
     tasks = F.array(*[F.struct(F.lit(-n).alias("order"), F.lit(task).alias("task"), F.array(*map(F.lit, patterns)).alias("patterns")) for n, (task, patterns) in enumerate(K.TASK_PATTERNS.items())])
-    once = lambda t: F.transform(tasks, lambda k: F.struct(F.aggregate(k["patterns"], F.lit(0), lambda n, p: n + t["low"].contains(p).cast("int") + t["padded"].contains(F.concat(F.lit(" "), p, F.lit(" "))).cast("int")).alias("score"), k["order"].alias("order"), k["task"].alias("task")))
+    once = lambda t: F.transform(tasks, lambda k: F.struct(F.aggregate(k["patterns"], F.lit(0), lambda n, p: n + F.when(t["low"].contains(p), 1 + t["padded"].contains(F.concat(F.lit(" "), p, F.lit(" "))).cast("int")).otherwise(0)).alias("score"), k["order"].alias("order"), k["task"].alias("task")))
     low = F.lower(_c(text))
     return F.transform(F.array(F.struct(low.alias("low"), F.concat(F.lit(" "), low, F.lit(" ")).alias("padded"))), once)[0]
 

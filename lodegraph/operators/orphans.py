@@ -20,10 +20,11 @@ from .skew import lookup_join
 
 
 def presence(entities: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """(ref, first_created, first_deleted): since when an id is known, and since when it is deleted."""
-    made = entities.select(norm_id("id").alias("ref"), F.col("created_at").alias("made"), F.lit(None).cast("timestamp").alias("gone"))
-    gone = tombstones.select(norm_id("entity_id").alias("ref"), F.lit(None).cast("timestamp").alias("made"), F.col("deleted_at").alias("gone"))
-    return made.unionByName(gone).where("ref is not null").groupBy("ref").agg(F.min("made").alias("first_created"), F.min("gone").alias("first_deleted"))
+    """(ref, first_created, first_deleted, known): since when an id is there, since when it is deleted, and whether any row,
+    with a date or without, has it."""
+    made = entities.select(norm_id("id").alias("ref"), F.col("created_at").alias("made"), F.lit(None).cast("timestamp").alias("gone"), F.lit(True).alias("known"))
+    gone = tombstones.select(norm_id("entity_id").alias("ref"), F.lit(None).cast("timestamp").alias("made"), F.col("deleted_at").alias("gone"), F.lit(False).alias("known"))
+    return made.unionByName(gone).where("ref is not null").groupBy("ref").agg(F.min("made").alias("first_created"), F.min("gone").alias("first_deleted"), F.max("known").alias("known"))
 
 
 def references(entities: DataFrame, relationships: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def find_orphans(entities: DataFrame, relationships: DataFrame, tombstones: Data
     state = cut(
         refs.withColumn(
             "reason",
-            F.when(F.col("first_created").isNull(), "unknown").when(missing, "not yet created").when(F.col("first_deleted") <= F.col("at"), "deleted"),
+            F.when(~F.coalesce("known", F.lit(False)), "unknown").when(missing, "not yet created").when(F.col("first_deleted") <= F.col("at"), "deleted"),
         )
         .groupBy("table", "record_id", "endpoint", "ref")
         .agg(F.max("at").alias("at"), F.max("reason").alias("reason"))

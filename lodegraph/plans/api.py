@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import constants as K
-from ..session import cut
 from ..operators import embed, extract, graph, retrieval, stats
+from ..session import cut
 from ..sources import files as source_files
 from ..sources.filters import SourceFilter
 
@@ -90,7 +90,7 @@ class CodeGraph:
 
     def _exists(self, name: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return bool(path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path))
 
     def parse_repo(self, path: str, repository_id: str | None = None, incremental: bool = False, languages: list[str] | None = None, exclude: list[str] | None = None, drop_dangling: bool = True) -> dict:
         """Indexes a source tree: scan, extraction and embedding in one pass, then one write per table that replaces what the
@@ -101,11 +101,11 @@ class CodeGraph:
         try:
             if incremental and self._exists("files"):
                 old = self._table("files").where(F.col("repository_id") == repository_id)
-                changed = source_files.changed_files(old, found, ["repository_id", "file_path"]).cache()
+                changed = cut(source_files.changed_files(old, found, ["repository_id", "file_path"]))
                 fresh = found.join(changed.where("change <> 'removed'"), ["repository_id", "file_path"], "left_semi")
             else:
                 incremental, fresh = False, found
-            extracted = extract.extract_files(fresh).cache()
+            extracted = cut(extract.extract_files(fresh))
             ents = extract.entity_rows(extracted)
             ents = embed.embed_column(ents.withColumn("_text", C.recipe_full("entity_type", "name", "signature", "docstring", "content")), "_text", provider=self.provider).drop("_text")
             rels = extract.relationship_rows(extracted).withColumnRenamed("source_entity_id", "src").withColumnRenamed("target_entity_id", "dst").withColumnRenamed("relationship_type", "type")
@@ -176,6 +176,8 @@ class CodeGraph:
         return near.select(F.col("node").alias("id"), "depth", "via").join(self._table("entities").select("id", "name", "entity_type", "file_path"), "id")
 
     def repositories(self, limit: int | None = None, offset: int = 0) -> DataFrame:
+        if not self._exists("repositories/repository_id=*"):
+            return self.spark.createDataFrame([], "id string, name string, last_indexed timestamp, entities long, relationships long")
         repos = self._table("repositories").withColumnRenamed("repository_id", "id")
         out = stats.repository_listing(repos, self._table("entities"), self._table("relationships"))
         out = out.offset(offset) if offset else out

@@ -21,7 +21,7 @@ for _ext, _lang in K.LANGUAGE_BY_EXTENSION.items():
 def scan(spark: SparkSession, root: str, repository_id: str, max_bytes: int = 10 << 20, rules: SourceFilter | None = None, include: list[str] | None = None, languages: list[str] | None = None) -> DataFrame:
     """(repository_id, file_path, size, modified, language, hash, content): the source files under a folder, read as bytes.
 
-    Paths are relative to the folder. Files over max_bytes come with a null content. Texts are decoded as UTF-8, else as
+    Paths are relative to the folder. Empty files are not listed. Files over max_bytes come with a null content. Texts are decoded as UTF-8, else as
     Latin-1. include: globs on the relative path; languages: only these (unknown names contribute nothing)."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = urlparse(root).path if "://" in root else os.path.abspath(root)

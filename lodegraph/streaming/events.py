@@ -10,21 +10,26 @@ from pyspark.sql.types import StructType
 from ..operators.extract import entity_rows, extract_files, relationship_rows
 
 
+def _marked(events: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream with a watermark; times without zone are taken in the session's, which is to be UTC."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
+
+
 def window_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours", time: str = "ts", kind: str = "event_type", value: str = "value") -> DataFrame:
     """(window_start, kind, n, total): tumbling windows; on a stream rows later than ``late`` are left out. The same plan serves
     a table and a stream."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = _marked(events, time, late)
     return rows.groupBy(F.window(time, width), kind).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("window_start"), kind, "n", "total")
 
 
 def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours", time: str = "ts", user: str = "user_id") -> DataFrame:
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = _marked(events, time, late)
     return rows.groupBy(F.session_window(time, gap), user).agg(F.count(F.lit(1)).alias("n")).select(user, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
 
 
 def once(events: DataFrame, key: str = "event_id", late: str = "2 hours", time: str = "ts") -> DataFrame:
     """Each event once, repeated deliveries within ``late`` dropped."""
-    return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+    return _marked(events, time, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
 def latest_per_key(table: str):
