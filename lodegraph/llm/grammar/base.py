@@ -20,6 +20,7 @@ class Tokens:
         self.fresh: list[bool] = []
         self.place: list[int] = []
         self.match: dict[int, int] = {}
+        self.opener: dict[int, int] = {}
         self._open: list[int] = []
 
     def add(self, kind: str, value: str, fresh: bool, place: int) -> None:
@@ -29,7 +30,8 @@ class Tokens:
             elif value in CLOSERS:
                 if not self._open or self.value[self._open[-1]] != CLOSERS[value]:
                     raise Invalid(f"'{value}' at {place} closes nothing")
-                self.match[self._open.pop()] = len(self.value)
+                self.opener[len(self.value)] = at = self._open.pop()
+                self.match[at] = len(self.value)
         self.kind.append(kind)
         self.value.append(value)
         self.fresh.append(fresh)

@@ -85,6 +85,9 @@ def _lex(text: str, out: Tokens, i: int, ts: bool, inner: bool = False) -> int:
         elif c == "/":
             k, v = (out.kind[-1], out.value[-1]) if out.kind else ("", "")
             value_before = k in ("n", "d", "s", "r") or (k == "k" and v in ("this", "super", "null", "true", "false")) or (k == "p" and v in _VALUE_ENDS)
+            if v == ")" and k == "p":  # after the head of a statement a value begins
+                at = out.opener[len(out.value) - 1]
+                value_before = not (at and out.kind[at - 1] == "k" and out.value[at - 1] in ("if", "while", "for", "with"))
             m = None if value_before and v != "}" else _REGEX.match(text, i)
             if m:
                 out.add("r", m[0], fresh, i)
