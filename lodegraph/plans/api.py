@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import constants as K
 from ..operators import embed, extract, graph, retrieval, stats
-from ..session import cut
+from ..session import cut, ship
 from ..sources import files as source_files
 from ..sources.filters import SourceFilter
 
@@ -84,6 +84,7 @@ class CodeGraph:
     def __init__(self, spark: SparkSession, root: str, provider: embed.Provider | None = None) -> None:
         self.spark, self.root, self.provider, self.cache = spark, root.rstrip("/"), provider or embed.hashing_provider(), Cache()
         self.log: list[tuple[float, bool]] = []
+        ship(spark)
 
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}")

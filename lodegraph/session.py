@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +41,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialises df in the shared folder and drops its lineage; survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable for the Python workers, wherever they run; once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lodegraph_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    place = Path(tempfile.mkdtemp()) / "lodegraph.zip"
+    with zipfile.ZipFile(place, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(str(place))
+    sc._lodegraph_shipped = True
