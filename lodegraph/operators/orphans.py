@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from ..tables import norm_id
-from .skew import lookup_join
+from .skew import hot_list, lookup_join
 
 
 def presence(entities: DataFrame, tombstones: DataFrame) -> DataFrame:
@@ -46,7 +46,9 @@ def find_orphans(entities: DataFrame, relationships: DataFrame, tombstones: Data
     number of orphaned records between. The cascade runs level by level: a semi-join of the parent references with the ids
     orphaned in the last level, less those orphaned before; each level is written to the shared folder."""
     there = presence(entities, tombstones)
-    refs = lookup_join(references(entities, relationships), there, "ref")
+    every = references(entities, relationships)
+    hot = hot_list(every, "ref")  # what is not hot among all references is not hot among some of them
+    refs = lookup_join(every, there, "ref", hot=hot)
     missing = F.col("first_created").isNull() | F.col("at").isNull() | (F.col("first_created") > F.col("at"))
     state = cut(
         refs.withColumn(
@@ -63,9 +65,9 @@ def find_orphans(entities: DataFrame, relationships: DataFrame, tombstones: Data
     frontier, depth = seen, 1
     while not frontier.isEmpty():
         depth += 1
-        frontier = cut(lookup_join(up, frontier.select("ref"), "ref", "left_semi").select(F.col("record_id").alias("ref")).distinct().join(seen, "ref", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = cut(lookup_join(up, frontier.select("ref"), "ref", "left_semi", hot).select(F.col("record_id").alias("ref")).distinct().join(seen, "ref", "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
-    inherited = lookup_join(state.where("reason is null"), seen.groupBy("ref").agg(F.min("depth").alias("depth")), "ref", "inner").withColumn("kind", F.lit("inherited"))
+    inherited = lookup_join(state.where("reason is null"), seen.groupBy("ref").agg(F.min("depth").alias("depth")), "ref", "inner", hot).withColumn("kind", F.lit("inherited"))
     columns = ["table", "record_id", "endpoint", "ref", "at", "kind", "reason", "depth"]
     return direct.select(columns).unionByName(inherited.select(columns))
 

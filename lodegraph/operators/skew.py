@@ -17,13 +17,18 @@ def hot_keys(df: DataFrame, key: str, floor: int = 20_000, per_partition: int =
     return counts.crossJoin(F.broadcast(total)).where((F.col("n") > floor) & (F.col("n") * (per_partition * parts) > F.col("total"))).select(key)
 
 
-def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
+def hot_list(big: DataFrame, key: str) -> list:
+    """The hot keys as a list, to be found once for several joins of the same rows."""
+    return [r[0] for r in hot_keys(big, key).collect()]
+
+
+def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", hot: list | None = None) -> DataFrame:
     """``big`` joined with ``small``, which has at most one row per key.
 
     The rows of hot keys (see hot_keys; a bounded list) meet a broadcast of the hot rows of ``small``, so no task gets all
     rows of a frequent key; all other rows meet by an ordinary shuffle join. ``how``: left, inner, left_semi or left_anti.
-    Null keys match nothing. Columns of both sides must differ but for the key."""
-    hot = [r[0] for r in hot_keys(big, key).collect()]
+    hot: the hot keys where they are known. Null keys match nothing. Columns of both sides must differ but for the key."""
+    hot = hot_list(big, key) if hot is None else hot
     if not hot:
         return big.join(small, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
