@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import flow
 
 _ENTITY = pa.struct([("id", pa.string()), ("entity_type", pa.string()), ("name", pa.string()), ("qualified_name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("start_column", pa.int32()), ("end_column", pa.int32()), ("signature", pa.string()), ("docstring", pa.string()), ("content", pa.string()), ("parent_entity_id", pa.string()), ("dependencies", pa.list_(pa.string())), ("side_effects", pa.list_(pa.string())), ("cyclomatic_complexity", pa.int32()), ("nesting_depth", pa.int32())])
@@ -113,7 +114,7 @@ def extract_files(files: DataFrame, methods_as_method: bool = False) -> DataFram
                 rows = [extract_file(r["repository_id"] or "", r["file_path"] or "", r["language"], r["content"], methods_as_method) for r in batch.slice(at, 50).to_pylist()]
                 yield pa.RecordBatch.from_pylist(rows, schema=_OUT)
 
-    return files.select("repository_id", "file_path", "language", "content").mapInArrow(run, _DDL)
+    return spread(files.select("repository_id", "file_path", "language", "content")).mapInArrow(run, _DDL)
 
 
 def entity_rows(extracted: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import constants as K
 from ..operators import embed, extract, flow, graph, hierarchy, retrieval, stats
+from ..session import spread
 from ..sources import files as source_files
 from ..sources.filters import glob_regex, source_only
 from ..streaming import events as ev
@@ -525,12 +526,12 @@ def _task_score(patterns: list[str]) -> str:
 
 @query("with s as (select doc_id, text, " + ", ".join(f"({_task_score(p)}) as s{n}" for n, p in enumerate(K.TASK_PATTERNS.values())) + " from documents), m as (select *, greatest(" + ", ".join(f"s{n}" for n in range(len(K.TASK_PATTERNS))) + ") as best from s) select doc_id, case when text is null then null when best = 0 then 'implement_feature' " + " ".join(f"when s{n} = best then '{t}'" for n, t in enumerate(K.TASK_PATTERNS)) + " end as task from m")
 def task_type(s, d):
-    return table(s, d, "documents").select("doc_id", C.task_type("text").alias("task"))
+    return spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", C.task_type("text").alias("task"))
 
 
 @query()
 def recommended_actions(s, d):
-    return table(s, d, "documents").select("doc_id", F.array_join(C.recommended_actions(C.task_type("text")), "; ").alias("actions"))
+    return spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", F.array_join(C.recommended_actions(C.task_type("text")), "; ").alias("actions"))
 
 
 @query("select doc_id, a as start, substring(text, a::int + 1, 2048) as chunk from (select doc_id, text, unnest(range(0, greatest(1, length(text) - 256), 1792)) as a from documents where text is not null)")

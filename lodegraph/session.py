@@ -43,6 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is heavy for each row: rows that come in fewer parts than there are cores, as a single small file does,
+    are dealt out to all cores. Input of a size that matters has more parts than cores and is left as it is, without a shuffle."""
+    parts, cores = df._jdf.queryExecution().toRdd().getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if parts < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable for the Python workers, wherever they run; once for each context."""
     sc = spark.sparkContext
