@@ -124,3 +124,33 @@ def context_summary(results: DataFrame, task: str) -> DataFrame:
     n = results.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file_path").alias("files"))
     text = F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(f" relevant entities for {task} task. Spanning "), F.col("files").cast("string"), F.lit(" files. Including: "), F.col("kinds"), F.lit("."))
     return n.crossJoin(kinds).select(F.when(F.col("n") > 0, text).otherwise("No relevant context found.").alias("summary"))
+
+
+def context_snippets(context: DataFrame, ents: DataFrame, rels: DataFrame) -> DataFrame:
+    """(id, snippet): what to show of each entity of a multi-hop context (id, hop, via, type): its signature, how it was found,
+    and up to three names it is related to within the context."""
+    names = ents.join(context.select("id"), "id", "left_semi").select("id", "name", "signature")
+    inner = rels.select(F.col("src").alias("id"), F.col("dst").alias("other")).distinct().join(context.select("id"), "id", "left_semi").join(names.select(F.col("id").alias("other"), F.col("name").alias("other_name")), "other")
+    # three names an entity: the least by id, kept while aggregating
+    ranked_ = inner.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("other"))).where("n <= 3").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "other_name"))), lambda x: x["other_name"]), ", ").alias("related"))
+    part = lambda label, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"{label}: "), c))
+    return context.join(names, "id").join(ranked_, "id", "left").select("id", F.concat_ws(" | ", part("Signature", F.col("signature")), F.when(F.col("hop") > 0, part("Found via", F.col("type"))), part("Related", F.col("related"))).alias("snippet"))
+
+
+def context_graph_summary(context: DataFrame, ents: DataFrame) -> DataFrame:
+    """One row: nodes by type, hop and relationship type, nodes with a score over 0.7, and files covered."""
+    rows = context.join(ents.select("id", "entity_type", "file_path"), "id")
+    count = lambda c, name: rows.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("k")).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
+    total = rows.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("score") > 0.7).alias("relevant"), F.countDistinct("file_path").alias("files"))
+    return total.crossJoin(count("entity_type", "by_type")).crossJoin(count("hop", "by_hop")).crossJoin(count("type", "by_relationship"))
+
+
+def task_metadata(results: DataFrame, analyses: DataFrame) -> DataFrame:
+    """One row about results (id, name): number by type, names of complex functions, side effects by bucket, and dependencies.
+    analyses: (id, cyclomatic_complexity, side_effects, dependencies) as extraction gives them."""
+    rows = results.join(analyses, "id", "left")
+    effects = rows.select("name", F.explode("side_effects").alias("effect")).groupBy(C.side_effect_bucket("effect").alias("k")).agg(F.array_sort(F.collect_set(F.concat("name", F.lit(": "), "effect"))).alias("v")).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("side_effects"))
+    depends = rows.select(F.explode("dependencies").alias("d")).agg(F.countDistinct("d").alias("total_unique_dependencies"))
+    named = lambda cond, name: rows.agg(F.array_sort(F.collect_set(F.when(cond, F.col("name")))).alias(name))
+    kinds = results.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_type", "n")))).alias("entity_distribution"))
+    return kinds.crossJoin(named(F.col("cyclomatic_complexity") > 10, "complex_entities")).crossJoin(named(F.size("dependencies") > 5, "high_dependency_entities")).crossJoin(effects).crossJoin(depends)

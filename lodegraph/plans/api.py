@@ -87,7 +87,16 @@ class CodeGraph:
         ship(spark)
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        """A table; one that holds nothing yet is an empty one."""
+        if self._exists(f"{name}/repository_id=*"):
+            return self.spark.read.parquet(f"{self.root}/{name}")
+        none = self.spark.createDataFrame([], "repository_id string, file_path string, language string, content string")
+        if name == "entities":
+            return embed.embed_column(extract.entity_rows(extract.extract_files(none)), "content", provider=self.provider).where("false")
+        if name == "relationships":
+            rows = extract.relationship_rows(extract.extract_files(none))
+            return rows.withColumnRenamed("source_entity_id", "src").withColumnRenamed("target_entity_id", "dst").withColumnRenamed("relationship_type", "type")
+        return self.spark.createDataFrame([], {"files": "repository_id string, file_path string, size long, modified timestamp, language string, hash string", "repositories": "repository_id string, path string, name string, file_count long, size_bytes long, last_indexed timestamp"}[name])
 
     def _exists(self, name: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -177,8 +186,6 @@ class CodeGraph:
         return near.select(F.col("node").alias("id"), "depth", "via").join(self._table("entities").select("id", "name", "entity_type", "file_path"), "id")
 
     def repositories(self, limit: int | None = None, offset: int = 0) -> DataFrame:
-        if not self._exists("repositories/repository_id=*"):
-            return self.spark.createDataFrame([], "id string, name string, last_indexed timestamp, entities long, relationships long")
         repos = self._table("repositories").withColumnRenamed("repository_id", "id")
         out = stats.repository_listing(repos, self._table("entities"), self._table("relationships"))
         out = out.offset(offset) if offset else out
@@ -208,3 +215,61 @@ class CodeGraph:
     def query_statistics(self) -> dict:
         n = len(self.log)
         return {"total_queries": n, "average_time": sum(t for t, _ in self.log) / n if n else 0.0, "success_rate": sum(ok for _, ok in self.log) / n if n else 0.0, "cache_size": len(self.cache.kept)}
+
+
+def main(argv: list[str] | None = None) -> int:
+    """Command line: parse-repo, query, status, list, delete, clear. Give --root the folder of the graph's tables."""
+    import argparse
+
+    from ..config import load_config
+
+    p = argparse.ArgumentParser(prog="lodegraph")
+    p.add_argument("--root")
+    p.add_argument("--config")
+    sub = p.add_subparsers(dest="verb", required=True)
+    a = sub.add_parser("parse-repo")
+    a.add_argument("path")
+    a.add_argument("--repository-id")
+    a.add_argument("--incremental", action="store_true")
+    a.add_argument("--languages", nargs="*")
+    a.add_argument("--exclude", nargs="*")
+    a = sub.add_parser("query")
+    a.add_argument("text")
+    a.add_argument("--repository-id")
+    a.add_argument("--max-results", type=int)
+    a.add_argument("--confidence", type=float)
+    a.add_argument("--language", nargs="*")
+    a.add_argument("--entity-type", nargs="*")
+    a.add_argument("--file-filter")
+    a.add_argument("--no-related", action="store_true")
+    a.add_argument("--output-format", choices=["table", "json"], default="table")
+    for verb in ("status", "delete"):
+        sub.add_parser(verb).add_argument("repository_id")
+    sub.add_parser("list")
+    sub.add_parser("clear")
+    o = p.parse_args(argv)
+    config = load_config(o.config)
+    g = CodeGraph(SparkSession.builder.getOrCreate(), o.root or config.root, embed.hashing_provider(config.embedding.dimension))
+    try:
+        if o.verb == "parse-repo":
+            print(json.dumps(g.parse_repo(o.path, o.repository_id, o.incremental, o.languages, o.exclude), default=str))
+        elif o.verb == "query":
+            most = config.retrieval.max_results if o.max_results is None else o.max_results
+            least = config.retrieval.threshold if o.confidence is None else o.confidence
+            out = g.query(o.text, o.repository_id, most, least, o.entity_type, o.language, o.file_filter, not o.no_related)
+            if o.output_format == "json":
+                print("\n".join(r.json for r in source_files.as_json(out.orderBy("rank")).collect()))
+            else:
+                out.orderBy("rank").show(most, truncate=80)
+        elif o.verb == "list":
+            g.repositories().show(1000, truncate=False)
+        else:
+            print(json.dumps(getattr(g, o.verb)(*([o.repository_id] if o.verb != "clear" else [])), default=str))
+    except RequestError as e:
+        print(f"error: {e}")
+        return 1
+    return 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

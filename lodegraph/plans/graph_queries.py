@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import constants as K
-from ..operators import embed, extract, flow, graph, hierarchy, retrieval, stats
+from ..operators import chunking, embed, extract, flow, graph, hierarchy, retrieval, stats
 from ..session import spread
 from ..sources import files as source_files
 from ..sources.filters import glob_regex, source_only
@@ -484,6 +484,32 @@ def embedded_entities(s, d):
     return embed.embed_column(e.select("id", C.recipe_full("entity_type", "name", "signature", "docstring", "content").alias("text")), "text").select("id", "embedding")
 
 
+def _hub_context(s, d):
+    seeds = hub(s, d).select("id", F.lit(1.0).alias("score"))
+    return graph.cut(graph.hop_expansion(rels(s, d), ents(s, d).select("id", F.lit(0.9).alias("relevance")), seeds, hops=1))
+
+
+@query()
+def context_snippets(s, d):
+    return retrieval.context_snippets(_hub_context(s, d), ents(s, d), rels(s, d))
+
+
+@query()
+def context_graph_summary(s, d):
+    return retrieval.context_graph_summary(_hub_context(s, d), ents(s, d))
+
+
+@query()
+def task_metadata(s, d):
+    found = graph.cut(extract.entity_rows(extract.extract_files(_python_files(s, d))).where("entity_type = 'FUNCTION'").dropDuplicates(["id"]))
+    return retrieval.task_metadata(found.select("id", "name", "entity_type"), found.select("id", "cyclomatic_complexity", "side_effects", "dependencies"))
+
+
+@query()
+def contextual_chunks(s, d):
+    return chunking.contextual_chunks(graph.entities(table(s, d, "code_entities"), ["repository_id", "entity_type", "name", "file_path", "start_line", "end_line", "parent_entity_id", "content", "language"]))
+
+
 # texts
 
 
