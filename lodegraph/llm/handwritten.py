@@ -6,9 +6,9 @@ without pairs of files, what share of a file's rare lines is contained in other
 copies outside the usual folders are found. The remaining files are judged by marks of generators, by their path, and by the
 composition of their tokens.
 
-A line is rare if it stands in at most RARE_REPOSITORIES repositories; a file without rare lines is judged by all its lines.
-Null and blank contents are no case. Null paths or repositories are like any other value. Of repeated deliveries the latest
-counts. Empty tables give empty results."""
+Of several deliveries of an id any that is no hand-written file makes it a case. A line is rare if it stands in at most RARE_REPOSITORIES repositories; a file without rare lines is judged by all its lines.
+Null and blank contents are no case. Null paths or repositories are like any other value.
+Empty tables give empty results."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import norm_enum, norm_id
-from .common import latest, small_batches
+from .common import small_batches
 
 LEAST_LINE = 25
 RARE_REPOSITORIES = 1000

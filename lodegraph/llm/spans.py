@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_dir
+from ..session import cut, shared_dir, spread
 from .common import small_batches
 from .winnow import chosen, code_points, fingerprints, window_hashes
 
@@ -134,7 +134,7 @@ def shared_windows(docs: DataFrame, min_span: int = MIN_SPAN, batches: int = 3,
     stand in different texts. An owner is the 64-bit digest of a text."""
     spark = docs.sparkSession
     small_batches(spark, 500)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.char_length("text") >= min_span).withColumn("owner", F.xxhash64("text"))
+    texts = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.char_length("text") >= min_span)).withColumn("owner", F.xxhash64("text"))
     owners = texts.select("owner", F.md5("text").alias("digest"), "doc_id", F.char_length("text").alias("n_chars"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = FingerprintIndex(spark, buckets)

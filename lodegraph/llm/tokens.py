@@ -24,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ..session import spread
 from .common import small_batches
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -220,7 +221,7 @@ def _encoder(path: str, with_ids: bool, ids_at_once: int = 1 << 20):
 def encode_corpus(docs: DataFrame, keys: list[str], text: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """(keys..., ids array<int>): the ids of each row's text, without special tokens. No shuffle; other columns are not read."""
     small_batches(docs.sparkSession)
-    df = docs.select(*keys, text)
+    df = spread(docs.select(*keys, text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1])
     return df.mapInArrow(_encoder(tokenizer, True), f"{schema}, ids array<int>")
 
@@ -228,6 +229,6 @@ def encode_corpus(docs: DataFrame, keys: list[str], text: str = "text", tokenize
 def count_tokens(docs: DataFrame, keys: list[str], text: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """(keys..., n_tokens int), as encode_corpus but with the number of ids only."""
     small_batches(docs.sparkSession)
-    df = docs.select(*keys, text)
+    df = spread(docs.select(*keys, text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1])
     return df.mapInArrow(_encoder(tokenizer, False), f"{schema}, n_tokens int")
