@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup_join
 from ..session import cut, shared_dir, spread
 from .common import small_batches
 from .winnow import chosen, code_points, fingerprints, window_hashes
@@ -98,6 +99,7 @@ class FingerprintIndex:
 
     def add(self, postings: DataFrame) -> DataFrame:
         """Adds a batch; returns the hashes that are now known to be shared and of which a text is in this batch."""
+        # aggregated before the shuffle, so a hash in very many texts is one row a task
         entries = postings.groupBy("h").agg(F.min("owner").alias("low"), F.max("owner").alias("high"))
         run = self._write(entries)
         fresh = self.spark.table(run)
@@ -138,20 +140,15 @@ def shared_windows(docs: DataFrame, min_span: int = MIN_SPAN, batches: int = 3,
     owners = texts.select("owner", F.md5("text").alias("digest"), "doc_id", F.char_length("text").alias("n_chars"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = FingerprintIndex(spark, buckets)
-    postings = []
+    every = None
     for b in range(batches):
         batch = texts.where(F.pmod(F.xxhash64("owner"), F.lit(batches)) == b) if batches > 1 else texts
-        rows = batch.select("owner", "text").mapInArrow(_post(min_span), _POSTINGS)
-        name = index._write(rows.select("h", "owner").repartition(buckets, "h"))
-        postings.append(name)
-        index.add(spark.table(name))
+        rows = cut(batch.select("owner", "text").mapInArrow(_post(min_span), _POSTINGS))
+        index.add(rows)
+        every = rows if every is None else every.unionByName(rows)
     shared = index.shared.distinct()
-    every = spark.table(postings[0])
-    for name in postings[1:]:
-        every = every.unionByName(spark.table(name))
-    marked = cut(every.join(shared, "h").groupBy("owner").agg(F.collect_set("h").alias("marked")))
-    for name in postings:
-        spark.sql(f"drop table {name}")
+    # a fingerprint that a third of the texts have is met by broadcast, not gathered in one task
+    marked = cut(lookup_join(every, shared, "h", "left_semi").groupBy("owner").agg(F.collect_set("h").alias("marked")))
     index.close()
     likely = _maybe_in(texts, marked)
     one = likely.join(marked, "owner").groupBy("owner").agg(F.first("text").alias("text"), F.first("marked").alias("marked"))
