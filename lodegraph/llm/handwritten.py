@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup_join
+from ..session import cut
 from ..tables import norm_enum, norm_id
 from .common import small_batches
 
@@ -170,14 +172,14 @@ def not_handwritten(entities: DataFrame, contained: float = CONTAINED, rare: int
     minified or data; contained: share of the rare lines that other repositories keep as vendored code, where it was needed."""
     small_batches(entities.sparkSession, 500)
     rows = entities.where(norm_enum("entity_type") == "FILE").where("content is not null").select(norm_id("id").alias("entity_id"), "repository_id", "file_path", "content", F.col("updated_at").alias("at"))
-    looked = rows.where("entity_id is not null").select("entity_id", "repository_id", "file_path", "content").mapInArrow(_look, "entity_id string, repository_id string, kind string, lines array<long>")
+    looked = cut(rows.where("entity_id is not null").select("entity_id", "repository_id", "file_path", "content").mapInArrow(_look, "entity_id string, repository_id string, kind string, lines array<long>"))
     marked = looked.where("kind is not null").groupBy("entity_id").agg(F.min("kind").alias("kind"))
     files = looked.select("entity_id", "repository_id", "kind", F.explode("lines").alias("line"))
     theirs = F.when(F.col("kind") == "vendored", F.col("repository_id"))
     index = files.groupBy("line").agg(F.min("repository_id").alias("r0"), F.max("repository_id").alias("r1"), F.approx_count_distinct("repository_id", 0.05).alias("repos"), F.min(theirs).alias("v0"), F.max(theirs).alias("v1")).where("r0 <> r1")
     open_ = files.where("kind is null").select("entity_id", "repository_id", "line").distinct()
-    # lines of one repository only need no lookup: they are counted as not contained
-    known = open_.join(index, "line", "left").select("entity_id", (F.coalesce("repos", F.lit(1)) <= rare).alias("rare"), F.coalesce((F.col("v0") != F.col("repository_id")) | (F.col("v1") != F.col("repository_id")), F.lit(False)).alias("kept"))
+    # a line in a third of the files is met by broadcast; a line of one repository is not in the index and not contained
+    known = lookup_join(open_, index, "line").select("entity_id", (F.coalesce("repos", F.lit(1)) <= rare).alias("rare"), F.coalesce((F.col("v0") != F.col("repository_id")) | (F.col("v1") != F.col("repository_id")), F.lit(False)).alias("kept"))
     share = known.groupBy("entity_id").agg(F.count_if("rare").alias("n"), F.count_if(F.col("rare") & F.col("kept")).alias("k"), F.count(F.lit(1)).alias("n_all"), F.count_if("kept").alias("k_all"))
     share = share.select("entity_id", F.when(F.col("n") > 0, F.col("k") / F.col("n")).otherwise(F.col("k_all") / F.col("n_all")).alias("contained")).where(F.col("contained") >= contained)
     return marked.join(share, "entity_id", "full").select("entity_id", F.coalesce("kind", F.lit("vendored")).alias("kind"), F.round("contained", 6).alias("contained"))
