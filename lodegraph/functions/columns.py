@@ -210,8 +210,7 @@ def _task_types(texts: pd.Series) -> pd.Series:
 def task_type(text: Column | str) -> Column:
     """The task with the highest score (see task_scores), of equals the first; the default if none scores.
 
-    In Python by Arrow batches: searching long texts for some eighty patterns takes a fifth of the time that the same
-    expression takes in the JVM, whose search goes byte by byte."""
+    In Python by Arrow batches: over the documents of sf0.1 on one core that took 3.5 s, the same expression in the JVM 13 s."""
     return F.pandas_udf(_task_types, "string")(_c(text))
 
 
