@@ -6,6 +6,8 @@ write each level to the shared folder."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -149,6 +151,22 @@ def entry_points(nodes: DataFrame) -> DataFrame:
     return nodes.where("callers = 0 and callees > 0")
 
 
+def call_depths(ents: DataFrame, rels: DataFrame) -> DataFrame:
+    """(node, depth, reached): of all functions and methods the least number of calls from an entry point, however deep;
+    those that no entry point reaches keep depth 0 and are told apart by reached."""
+    funcs = ents.where(F.col("entity_type").isin("FUNCTION", "METHOD")).select("id")
+    calls = cut(adjacency(resolvable(rels.where("type = 'CALLS'"), funcs), True))
+    seen = cut(calls.select(F.col("src").alias("node")).distinct().join(calls.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("depth", F.lit(0)))
+    frontier = seen
+    for level in count(1):
+        step = calls.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        frontier = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(level)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return funcs.withColumnRenamed("id", "node").join(seen, "node", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"), F.col("depth").isNotNull().alias("reached"))
+
+
 def hotspots(nodes: DataFrame) -> DataFrame:
     return nodes.where("call_count > 5 or callers > 5")
 

@@ -291,12 +291,26 @@ def most_called(s, d):
     select node, 0 as depth from l0 union all select node, 1 from l1 union all select node, 2 from l2 union all select node, 3 from l3"""
 )
 def call_depth(s, d):
+    """Depths 0 to 3 of reached functions only, as the SQL has them; call_depth_full has all depths and all functions."""
     c = calls(s, d)
     start = c.select(F.col("src").alias("id")).distinct().join(c.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
     reach = graph.distances(c.select("src", "dst").unionByName(start.select(F.lit("*").alias("src"), F.col("id").alias("dst"))), s.createDataFrame([("*",)], "id string"), 4)
     return reach.where("depth > 0").select("node", (F.col("depth") - 1).alias("depth"))
 
 
+@query(
+    WITH.replace("with ", "with recursive ", 1)
+    + CALLS
+    + """, g as (select distinct src, dst from c),
+    w(node, depth) using key (node) as (select distinct src, 0 from g where src not in (select dst from g)
+        union select distinct g.dst, w.depth + 1 from w join g on g.src = w.node where g.dst not in (select node from recurring.w))
+    select f.id as node, coalesce(w.depth, 0) as depth, w.node is not null as reached from f left join w on w.node = f.id"""
+)
+def call_depth_full(s, d):
+    """All depths below entry points; functions that no entry point reaches have depth 0 and are not marked as reached."""
+    return graph.call_depths(ents(s, d), rels(s, d))
+
+
 INHERIT = ", g as (select distinct src, dst from rel where type in ('INHERITS', 'EXTENDS', 'IMPLEMENTS') and src is not null and dst is not null and src <> dst) "
 
 
