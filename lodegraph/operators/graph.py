@@ -16,6 +16,7 @@ from ..functions import columns as C
 from ..functions import constants as K
 from ..session import cut
 from ..tables import norm_enum, norm_id
+from . import hierarchy
 from .skew import lookup_join
 
 ENTITY_COLUMNS = ["repository_id", "entity_type", "name", "qualified_name", "file_path", "start_line", "end_line", "start_column", "end_column", "language", "signature", "docstring", "complexity_score"]
@@ -79,13 +80,14 @@ def adjacency(edges: DataFrame, directed: bool) -> DataFrame:
     return (e if directed else e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))).distinct()
 
 
-def distances(edges: DataFrame, starts: DataFrame, max_depth: int, directed: bool = True) -> DataFrame:
+def distances(edges: DataFrame, starts: DataFrame, max_depth: int | None, directed: bool = True) -> DataFrame:
     """(start, node, depth, via): every node within max_depth of the starts (id), with its least depth and, of the nodes one
-    step nearer, the smallest. Level by level: frontier joined with the edges, less what was seen."""
+    step nearer, the smallest. Level by level: frontier joined with the edges, less what was seen. Without max_depth until
+    nothing new is reached."""
     adj = cut(adjacency(edges, directed))
     seen = cut(starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")).distinct())
     frontier = seen
-    for level in range(1, max_depth + 1):
+    for level in count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.select("start", F.col("node").alias("src")).join(adj, "src").groupBy("start", F.col("dst").alias("node")).agg(F.min("src").alias("via"))
         frontier = cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").select("start", "node", F.lit(level).alias("depth"), "via"))
         if frontier.isEmpty():
@@ -171,20 +173,43 @@ def hotspots(nodes: DataFrame) -> DataFrame:
     return nodes.where("call_count > 5 or callers > 5")
 
 
-def impact(edges: DataFrame, max_depth: int = 50) -> DataFrame:
+def impact(edges: DataFrame) -> DataFrame:
     """(id, direct, transitive, score): of each called node its callers, all that call it through others (less one, as the
-    number has always been reported), and direct + transitive/2."""
+    number has always been reported), and direct + transitive/2. Chains of calls may have any length.
+
+    Nodes on common cycles have the same callers, so pairs are made between strongly connected components only, and the
+    callers of a component are added up by size. What lies below the largest component has all that lies above it as
+    callers: that share is counted once, without pairs."""
     adj = cut(adjacency(edges, True).where("src <> dst"))
-    reach = frontier = cut(adj.select(F.col("dst").alias("id"), F.col("src").alias("caller")))
-    for _ in range(max_depth):
-        step = frontier.join(adj.select(F.col("dst").alias("caller"), F.col("src").alias("next")), "caller").select("id", F.col("next").alias("caller")).distinct()
-        frontier = cut(step.join(reach, ["id", "caller"], "left_anti"))
-        if frontier.isEmpty():
-            break
+    rings = cut(hierarchy.find_cycles(adj).select("node", "cycle"))
+    sizes = cut(rings.groupBy("cycle").agg(F.count(F.lit(1)).alias("size")))
+    dag = adj
+    for end in ("src", "dst"):
+        dag = lookup_join(dag, rings.select(F.col("node").alias(end), "cycle"), end).withColumn(end, F.coalesce("cycle", end)).drop("cycle")
+    dag = cut(dag.where("src <> dst").select("src", "dst").distinct())
+    largest = sizes.orderBy(F.desc("size"), "cycle").select(F.col("cycle").alias("id")).limit(1)
+    above = cut(distances(dag.select(F.col("dst").alias("src"), F.col("src").alias("dst")), largest, None).select(F.col("node").alias("caller"), F.lit(True).alias("above")))
+    below = cut(distances(dag, largest, None).where("depth > 0").select(F.col("node").alias("id"), F.lit(True).alias("below")))
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        return pairs.join(above, "caller", "left").join(below, "id", "left").where("above is null or below is null").select("id", "caller")
+
+    up = dag.select(F.col("dst").alias("caller"), F.col("src").alias("next"))
+    reach = frontier = cut(apart(dag.select(F.col("dst").alias("id"), F.col("src").alias("caller"))))
+    while not frontier.isEmpty():
+        step = frontier.join(up, "caller").select("id", F.col("next").alias("caller")).distinct()
+        frontier = cut(apart(step).join(reach, ["id", "caller"], "left_anti"))
         reach = reach.unionByName(frontier)
+
+    weight = sizes.withColumnRenamed("cycle", "caller")
+    size = F.coalesce("size", F.lit(1))
+    single = lookup_join(reach, weight, "caller").groupBy("id").agg(F.sum(size).alias("n"))
+    shared = below.select("id").crossJoin(F.broadcast(above.join(weight, "caller", "left").agg(F.coalesce(F.sum(size), F.lit(0)).alias("n"))))
+    own = sizes.select(F.col("cycle").alias("id"), F.col("size").alias("n"))
+    total = single.unionByName(shared).unionByName(own).groupBy("id").agg((F.sum("n") - 1).alias("transitive"))
     direct = adj.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("direct"))
-    all_ = reach.groupBy("id").agg((F.count(F.lit(1)) - 1).alias("transitive"))
-    return direct.join(all_, "id").select("id", "direct", "transitive", (F.col("direct") + 0.5 * F.col("transitive")).alias("score"))
+    placed = direct.join(rings.withColumnRenamed("node", "id"), "id", "left").select("id", "direct", F.coalesce("cycle", "id").alias("part"))
+    return lookup_join(placed, total.withColumnRenamed("id", "part"), "part", "inner").select("id", "direct", "transitive", (F.col("direct") + 0.5 * F.col("transitive")).alias("score"))
 
 
 def simple_paths(edges: DataFrame, starts: DataFrame, max_nodes: int = 10) -> DataFrame:

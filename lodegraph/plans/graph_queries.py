@@ -320,9 +320,16 @@ def inherits(s, d):
 
 @query("with recursive " + ENT + ", " + REL + INHERIT + ", w as (select dst as id, src as caller from g union select w.id, g.src from w join g on g.dst = w.caller) select w.id, (select count(*) from g where g.dst = w.id) as direct, count(*) - 1 as transitive, (select count(*) from g where g.dst = w.id) + 0.5::double * (count(*) - 1) as score from w group by w.id")
 def impact_scores(s, d):
+    """Impact along inheritance, as the SQL has it; call_impact is the impact of functions over the call graph."""
     return graph.impact(inherits(s, d))
 
 
+@query()
+def call_impact(s, d):
+    """Impact of called functions over the whole call graph. No SQL: a closure by pairs has 17.8 million rows on sf0.1."""
+    return graph.impact(calls(s, d))
+
+
 @query("with recursive " + ENT + ", " + REL + INHERIT + ", w as (select src as start, [src] as path, src as last from g where src not in (select dst from g) union all select w.start, list_append(w.path, g.dst), g.dst from w join g on g.src = w.last where len(w.path) < 10 and not list_contains(w.path, g.dst)) select distinct start, array_to_string(path, '>') as path, len(path) + 0.5::double * len(path) as complexity from w where len(path) > 1 and (last not in (select src from g) or len(path) = 10)")
 def inheritance_paths(s, d):
     g = inherits(s, d).where("src is not null and dst is not null and src <> dst")
@@ -394,9 +401,22 @@ def pagerank(s, d):
 
 @query("with recursive " + ENT + ", " + REL + INHERIT + ", b as (select src as a, dst as b from g union select dst, src from g), w as (select a as node, a as reach from b union select w.node, b.b from w join b on b.a = w.reach) select node, min(reach) as component from w group by node")
 def components(s, d):
+    """Components along inheritance, as the SQL has them; graph_components takes all relationships."""
     return hierarchy.components(inherits(s, d).where("src is not null and dst is not null and src <> dst"))
 
 
+@query(
+    WITH.replace("with ", "with recursive ", 1)
+    + """, g as (select distinct src, dst from rel where src is not null and dst is not null), b as (select src as a, dst as b from g union select dst, src from g),
+    w(node, component) using key (node) as (select a, min(least(a, b)) from b group by a
+        union select b.b, min(w.component) from w join b on b.a = w.node join recurring.w r on r.node = b.b where w.component < r.component group by b.b)
+    select node, component from w"""
+)
+def graph_components(s, d):
+    """Connected components over all kinds of relationships; an entity related only to itself is a component."""
+    return hierarchy.components(graph.cut(graph.adjacency(rels(s, d), True)))
+
+
 # retrieval on embeddings
 
 

@@ -1,6 +1,6 @@
 """Operators on the call graph do the whole graph: any depth, any length of chain, all kinds of relationships."""
 
-from pyspark.sql import functions as F
+import random
 
 from lodegraph.operators import graph
 from lodegraph.plans import graph_queries
@@ -22,3 +22,52 @@ def test_call_depths_reach_every_level(spark):
 
 def test_call_depth_full_is_registered():
     assert "call_depth_full" in graph_queries.queries() and "call_depth_full" in graph_queries.oracle_sql()
+
+
+def brute_impact(edges):
+    edges = {(a, b) for a, b in edges if a != b}
+    up = {}
+    for a, b in edges:
+        up.setdefault(b, set()).add(a)
+    out = {}
+    for node, callers in up.items():
+        seen, todo = set(), list(callers)
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += up.get(x, ())
+        out[node] = (len(callers), len(seen) - 1, len(callers) + 0.5 * (len(seen) - 1))
+    return out
+
+
+def impact_of(spark, edges):
+    return {r.id: (r.direct, r.transitive, r.score) for r in graph.impact(spark.createDataFrame(edges, "src string, dst string")).collect()}
+
+
+def test_impact_follows_chains_of_any_length(spark):
+    chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)]
+    assert impact_of(spark, chain)["n060"] == brute_impact(chain)["n060"] == (1, 59, 30.5)
+
+
+def test_impact_with_cycles_equals_brute_force(spark):
+    rnd = random.Random(5)
+    for n, m in ((12, 14), (40, 60), (60, 75)):
+        edges = [(f"n{rnd.randrange(n):02}", f"n{rnd.randrange(n):02}") for _ in range(m)]
+        edges += [("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("d", "e"), ("x", "e"), ("a", "y"), ("self", "self")]
+        assert impact_of(spark, edges) == brute_impact(edges)
+
+
+def test_call_impact_is_over_calls(spark, monkeypatch):
+    ents, rels = functions_and_calls(spark, "abc", [("a", "b"), ("b", "c")])
+    monkeypatch.setattr(graph_queries, "ents", lambda s, d: ents)
+    monkeypatch.setattr(graph_queries, "rels", lambda s, d: rels)
+    assert {(r.id, r.direct, r.transitive) for r in graph_queries.call_impact(spark, "").collect()} == {("b", 1, 0), ("c", 1, 1)}
+
+
+def test_graph_components_are_over_all_relationships(spark, monkeypatch):
+    kinds = [("a", "b", "CALLS"), ("c", "b", "CONTAINS"), ("d", "c", "IMPORTS"), ("e", "f", "INHERITS"), ("g", "g", "CALLS")]
+    rels = spark.createDataFrame(kinds, "src string, dst string, type string")
+    monkeypatch.setattr(graph_queries, "rels", lambda s, d: rels)
+    got = {r.node: r.component for r in graph_queries.graph_components(spark, "").collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "a", "e": "e", "f": "e", "g": "g"}
