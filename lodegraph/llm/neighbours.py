@@ -12,8 +12,9 @@ Shards of many rows are cut into blocks, and so are the queries that enter them,
 however many rows a shard has; no rows are dropped for it.
 
 Vectors that are null, of another length, all zero, or have null or infinite or undefined elements take no part. Of repeated
-deliveries of an id the latest counts. Ties are broken by id. A vector is not its own neighbour, but equal vectors of other ids are.
-Empty input gives an empty result."""
+deliveries of an id the latest counts. Exactly equal vectors are searched as one and of their ids the smallest count, however many
+they are; between different vectors the order is that of the cosine as computed. A vector is not its own neighbour, but equal
+vectors of other ids are. Empty input gives an empty result."""
 
 from __future__ import annotations
 
@@ -269,14 +270,27 @@ def _search(dim: int, k: int, factor: float):
         ids = np.array(group["id"].to_pylist(), dtype=object)
         vecs, d, q = _matrix(group["vec"], dim), np.flatnonzero(data), np.flatnonzero(~data)
         d = d[np.argsort(ids[d])]
-        at = {i: n for n, i in enumerate(ids[d])}
+        # exactly equal vectors are one row of the tree; of their ids the first k + 1 can count, one of them being the query
+        made: dict[bytes, int] = {}
+        kind = np.fromiter((made.setdefault(vecs[i].tobytes(), len(made)) for i in d), np.int64, len(d))
+        members: list[list[str]] = [[] for _ in made]
+        for i, u in zip(d, kind):
+            if len(members[u]) <= k:
+                members[u].append(ids[i])
+        one = d[np.unique(kind, return_index=True)[1]]
+        at = dict(zip(ids[d], kind.tolist()))
         same = np.array([at.get(i, -1) for i in ids[q]], np.int64)
         reach = np.array(group["reach"].to_pylist(), dtype=object)[q].astype(np.float64)
-        rows, cos = Tree(vecs[d]).search(vecs[q], k, reach, factor, same)
+        rows, _ = Tree(vecs[one]).search(vecs[q], k, reach, factor, same)
+        rows = np.concatenate([same[:, None], rows], 1)  # the query's own copies are found without a search
         i, j = np.nonzero(rows >= 0)
-        other = d[rows[i, j]]
-        exact = np.einsum("ij,ij->i", vecs[q[i]].astype(np.float64), vecs[other].astype(np.float64)) if len(i) else np.empty(0)
-        return pa.table([pa.array(ids[q[i]], pa.string()), pa.array(ids[other], pa.string()), pa.array(exact)], schema=_OUT)
+        kinds = rows[i, j]
+        exact = np.einsum("ij,ij->i", vecs[q[i]].astype(np.float64), vecs[one[kinds]].astype(np.float64)) if len(i) else np.empty(0)
+        found: list[list[tuple[float, str]]] = [[] for _ in q]
+        for n, u, c in zip(i.tolist(), kinds.tolist(), exact.tolist()):
+            found[n] += [(-c, x) for x in members[u] if x != ids[q[n]]]
+        out = [(ids[q[n]], x, -c) for n, near in enumerate(found) for c, x in sorted(near)[:k]]
+        return pa.table([pa.array([r[c] for r in out], t.type) for c, t in enumerate(_OUT)], schema=_OUT)
 
     return run
 
