@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from lodegraph.llm import neighbours as nb
+from lodegraph.llm.grammar import problem
 
 
 @pytest.mark.parametrize("block", [8192, 70])
@@ -25,3 +26,18 @@ def test_of_many_equal_vectors_the_smallest_ids_count(spark, block):
     pairs = {(r.a, r.b) for r in nb.mutual_pairs(found, 0.9).collect()}
     # the tenth and earlier have each other; the eleventh is in the lists of the ten before it and has them in its own
     assert {p for p in pairs if {*p} <= {f"v{i:03}" for i in copies}} == {(a, b) for a in first for b in first if a < b}
+
+
+@pytest.mark.parametrize("n", [170, 3000])
+def test_deep_nesting_is_no_error(n):
+    chain = "if (a) { b(); } " + "else if (a) { b(); } " * n
+    deep = "(" * n + "1" + ")" * n
+    for language in ("javascript", "typescript"):
+        assert problem(f"x = {deep};", language) is None and problem(f"x = {'[' * n}1{']' * n};", language) is None and problem(chain, language) is None
+        assert problem(f"x = {deep});", language) is not None and problem(f"x = ({deep};", language) is not None
+    java = "class A {{ int f(boolean a) {{ {} return 0; }} }}"
+    assert problem(java.format(f"int x = {deep};"), "java") is None and problem(java.format(chain), "java") is None
+    assert problem(java.format(f"int x = ({deep};"), "java") is not None
+    go = "package p\n\nfunc f() {{\n{}\n}}\n"
+    assert problem(go.format(f"x := {deep}"), "go") is None and problem(go.format(f"x := ({deep}"), "go") is not None
+    assert problem(go.format("if a { b() } " + "else if a { b() } " * n), "go") is None
