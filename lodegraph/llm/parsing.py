@@ -1,8 +1,7 @@
 """Source files that are not valid in the language of their extension, and their rates.
 
-Long files of languages whose lexer allows it are cut into chunks, each is turned into a map of lexer states and a bracket
-summary wherever it lies, and the maps are composed by file (see lexstates.py). What remains balanced, and every other file,
-is parsed statement by statement by the language's grammar (see grammar/). What parse_results says plays no part.
+Files of languages whose lexer allows it are cut into chunks, each is turned into a map of lexer states and a bracket
+summary wherever it lies, and the maps are composed by file (see lexstates.py). Every file, whatever its maps say, is parsed statement by statement by the language's grammar (see grammar/). What parse_results says plays no part.
 
 Null contents and files of other extensions are no case; empty Python, script and Java files are valid, an empty Go file is not.
 A byte order mark at the start does no harm. Of repeated deliveries the latest counts. Null repositories or paths are values
@@ -68,8 +67,7 @@ def check_files(entities: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(entity_id, repository_id, file_path, language, problem): every source file with what is wrong with it, or null."""
     small_batches(entities.sparkSession, 200)
     rows = latest(source_files(entities), ["entity_id"], ["at"], ["repository_id", "file_path", "language", "content"])
-    long = (F.char_length("content") > chunk) & F.col("language").isin(*CHUNKED)
-    maps = rows.where(long).select("entity_id", "language", "content").mapInArrow(_to_maps(chunk), "entity_id string, chunk int, map string")
+    maps = rows.where(F.col("language").isin(*CHUNKED)).select("entity_id", "language", "content").mapInArrow(_to_maps(chunk), "entity_id string, chunk int, map string")
     reduced = maps.groupBy("entity_id").agg(F.collect_list(F.struct("chunk", "map")).alias("maps")).mapInArrow(_compose, "entity_id string, problem string").where("problem is not null")
     parsed = rows.select("entity_id", "language", "content").mapInArrow(_parse, "entity_id string, problem string")
     said = parsed.unionByName(reduced).groupBy("entity_id").agg(F.min("problem").alias("problem"))

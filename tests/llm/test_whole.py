@@ -41,3 +41,30 @@ def test_deep_nesting_is_no_error(n):
     go = "package p\n\nfunc f() {{\n{}\n}}\n"
     assert problem(go.format(f"x := {deep}"), "go") is None and problem(go.format(f"x := ({deep}"), "go") is not None
     assert problem(go.format("if a { b() } " + "else if a { b() } " * n), "go") is None
+
+
+def test_maps_are_made_for_short_files_too(spark, monkeypatch):
+    """What enters the maps: every Java and Go file, however short."""
+    from lodegraph.llm import parsing
+
+    rows = [("a", "FILE", "r", "A.java", "class A {}"), ("b", "FILE", "r", "b.go", "package b"), ("c", "FILE", "r", "c.js", "x"), ("d", "FILE", "r", "d.go", "package d\n" + "// x\n" * 5000)]
+    df = spark.createDataFrame(rows, "id string, entity_type string, repository_id string, file_path string, content string").selectExpr("*", "timestamp'2024-01-01' as updated_at")
+
+    def seen(size):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"entity_id": b.column(0), "chunk": pa.array([0] * len(b), pa.int32()), "map": pa.array(["{}"] * len(b))})
+
+        return run
+
+    def marked(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"entity_id": b.column(0), "problem": pa.array(["mapped"] * len(b))})
+
+    monkeypatch.setattr(parsing, "_to_maps", seen)
+    monkeypatch.setattr(parsing, "_compose", marked)
+    assert {r.file_path for r in parsing.check_files(df).where("problem = 'mapped'").collect()} == {"A.java", "b.go", "d.go"}
