@@ -30,7 +30,7 @@ from .common import small_batches
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenizer of the vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK = 1 << 16
+BLOCK = 1 << 10
 _PLACE = regex.compile(r"(?<=\P{White_Space})\p{White_Space}|(?<=\p{L})[^\p{L}]|(?<=\p{N})[^\p{N}]|(?<=[^\p{White_Space}\p{L}\p{N}'])[\p{L}\p{N}]", regex.REVERSE)
 _PRETOKEN = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 _SPACE = regex.compile(r"\p{White_Space}")
@@ -188,8 +188,6 @@ def encode(text: str | None, vocab: Vocabulary, block: int = BLOCK) -> np.ndarra
     """The ids of a text; of null and of the empty text none."""
     if not text:
         return np.empty(0, np.int32)
-    if len(text) <= block:
-        return vocab.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
     s, out = StreamEncoder(vocab, block), []
     for i in range(0, len(text), block):
         out.append(np.array(s.feed(text[i : i + block]), np.int32))

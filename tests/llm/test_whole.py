@@ -68,3 +68,15 @@ def test_maps_are_made_for_short_files_too(spark, monkeypatch):
     monkeypatch.setattr(parsing, "_to_maps", seen)
     monkeypatch.setattr(parsing, "_compose", marked)
     assert {r.file_path for r in parsing.check_files(df).where("problem = 'mapped'").collect()} == {"A.java", "b.go", "d.go"}
+
+
+def test_usual_texts_are_encoded_as_a_stream(monkeypatch):
+    from lodegraph.llm import tokens
+
+    vocab, early = tokens.vocabulary(tokens.DEFAULT_TOKENIZER), []
+    feed = tokens.StreamEncoder.feed
+    monkeypatch.setattr(tokens.StreamEncoder, "feed", lambda self, text: early.append(feed(self, text)) or early[-1])
+    text = "for (int i = 0; i < count; i++) { total += value[i]; }\n" * 50
+    assert tokens.encode(text, vocab).tolist() == vocab.fast.encode_ordinary(text)
+    assert sum(map(len, early)) > 0
+    assert tokens.encode("short", vocab).tolist() == vocab.fast.encode_ordinary("short")
