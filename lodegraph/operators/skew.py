@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def hot_keys(df: DataFrame, key: str, floor: int = 20_000, per_partition: int = 4) -> DataFrame:
@@ -31,5 +32,7 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", h
     hot = hot_list(big, key) if hot is None else hot
     if not hot:
         return big.join(small, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    return big.where(~is_hot).join(small, key, how).unionByName(big.where(is_hot).join(F.broadcast(small.where(is_hot)), key, how))
+    keys = big.sparkSession.createDataFrame([(k,) for k in hot], StructType([big.schema[key]]))
+    both = big.join(F.broadcast(keys.withColumn("_hot", F.lit(True))), key, "left")
+    rest, met = both.where("_hot is null").drop("_hot"), both.where("_hot").drop("_hot")
+    return rest.join(small, key, how).unionByName(met.join(F.broadcast(small.join(F.broadcast(keys), key, "left_semi")), key, how))
