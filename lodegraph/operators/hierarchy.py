@@ -7,6 +7,7 @@ with several parents has one path for each way from a root. Empty input gives em
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,12 +25,12 @@ def contains_edges(relationships: DataFrame, kind: str = "CONTAINS") -> DataFram
     return relationships.where(norm_enum("relationship_type") == kind).select(norm_id("source_entity_id").alias("src"), norm_id("target_entity_id").alias("dst")).where("src is not null and dst is not null").distinct()
 
 
-def peel(edges: DataFrame, shrink: float = 0.7, max_rounds: int = 30) -> DataFrame:
+def peel(edges: DataFrame, shrink: float = 0.7, max_rounds: int | None = 30) -> DataFrame:
     """Takes away edges that can be on no cycle: into nodes that nothing leaves, or out of nodes that nothing enters. Goes
     on while a round leaves less than ``shrink`` of the edges."""
     edges = cut(edges)
     n = edges.count()
-    for _ in range(max_rounds):
+    for _ in count() if max_rounds is None else range(max_rounds):
         if n == 0:
             break
         inner = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
@@ -40,15 +41,16 @@ def peel(edges: DataFrame, shrink: float = 0.7, max_rounds: int = 30) -> DataFra
     return edges
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): connected components of the undirected edges, named by their smallest node.
 
-    Alternates large-star and small-star steps, which need about log(n) rounds; partial aggregation keeps hubs from
-    gathering in one task. Every round is written to the shared folder."""
+    Alternates large-star and small-star steps until nothing changes, which needs about log(n) rounds; partial aggregation
+    keeps hubs from gathering in one task, and the joins by node are inner joins that adaptive execution splits at a hub.
+    Every round is written to the shared folder."""
     e = cut(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a <> b").distinct())
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -132,12 +134,32 @@ def _component_cycles(rows: pa.Table) -> pa.Table:
     return pa.table({"node": [ids[i] for i in on], "cycle": [first[comp[i]] for i in on], "back_to": [back_to.get(i, []) for i in on]}, _CYCLES)
 
 
-def _large_cycles(edges: DataFrame) -> DataFrame:
-    """(node, cycle, back_to) for components too large for one task, by joins only. In turns: peel; spread the largest
-    name along the edges to a fixpoint (forward colour); walk back from each colour's origin within its colour. What is
-    reached is that origin's cycle; the rest goes to the next turn."""
-    loops = edges.where("src = dst").select(F.col("src").alias("node"))
-    left, found = peel(edges.where("src <> dst"), shrink=0.999, max_rounds=10_000), None
+def _contract(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """One round of shortening: about a quarter of the nodes that have one way out are merged into the node it leads to, so a
+    ring or chain of n nodes is gone after about log(n) rounds. Returns the edges left (with loops where a ring closed) and,
+    for undoing, the edges into and out of the merged nodes (before, node, into) and which of these had a loop. None if no
+    node has one way out."""
+    single = edges.where("src <> dst").groupBy("src").agg(F.min("dst").alias("into"), F.count(F.lit(1)).alias("n")).where("n = 1").select(F.col("src").alias("node"), "into")
+    # a node merges if its coin is heads and its target's is tails, so no two merges touch; the coin changes by round
+    single = cut(single)
+    if single.isEmpty():
+        return None
+    for salt in count():
+        heads = lambda c: F.xxhash64(c, F.lit(salt)).bitwiseAND(1) == 0  # noqa: E731, B023
+        merged = cut(single.where(heads("node") & ~heads("into")))
+        if not merged.isEmpty():
+            break
+    undo = cut(merged.join(edges.where("src <> dst").select(F.col("src").alias("before"), F.col("dst").alias("node")), "node"))
+    looped = cut(merged.select("node").join(edges.where("src = dst").select(F.col("src").alias("node")), "node", "left_semi"))
+    kept = edges.join(merged.select(F.col("node").alias("src")), "src", "left_anti").join(merged.select(F.col("node").alias("dst"), "into"), "dst", "left")
+    return cut(kept.select("src", F.coalesce("into", "dst").alias("dst")).distinct()), undo, looped
+
+
+def _spread_cycles(left: DataFrame) -> DataFrame:
+    """(node, cycle) by joins. In turns: peel; spread the largest name along the edges to a fixpoint (forward colour); walk
+    back from each colour's origin within its colour. What is reached is that origin's cycle; the rest goes to the next turn."""
+    found = None
+    left = peel(left, shrink=0.999, max_rounds=None)
     while not left.isEmpty():
         nodes = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
         colour = cut(nodes.select("node", F.col("node").alias("colour")))
@@ -154,34 +176,68 @@ def _large_cycles(edges: DataFrame) -> DataFrame:
             frontier = cut(same.join(frontier.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct().join(reach, ["node", "colour"], "left_anti"))
             reach = reach.unionByName(frontier)
         reach = cut(reach)
-        cycles = reach.join(reach.groupBy("colour").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("cycle")).where("n > 1"), "colour").select("node", "cycle")
+        cycles = reach.join(reach.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "colour").select("node", F.col("colour").alias("cycle"))
         found = cycles if found is None else found.unionByName(cycles)
         gone = reach.select("node")
-        left = peel(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"), shrink=0.999, max_rounds=10_000)
-    loops = loops.select("node", F.col("node").alias("cycle"))
-    every = loops if found is None else found.unionByName(loops)
-    return every.groupBy("node").agg(F.min("cycle").alias("cycle")).select("node", "cycle", F.lit(None).cast("array<string>").alias("back_to"))
+        left = peel(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"), shrink=0.999, max_rounds=None)
+    return left.select(F.col("src").alias("node"), F.col("src").alias("cycle")) if found is None else found
+
+
+def _large_cycles(edges: DataFrame) -> DataFrame:
+    """(node, cycle, back_to) for components too large for one task, by joins only: chains and rings are shortened, cycles
+    found among what is left, and the merged nodes brought back in turn. A merged node is on the cycle of the node it was
+    merged into if an edge from that cycle led to it."""
+    loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("cycle"))
+    plain = cut(edges.where("src <> dst"))
+    left, undone, size = plain, [], plain.count()
+    while (step := _contract(left)) is not None:
+        left = step[0]
+        undone.append(step[1:])
+        before, size = size, left.count()
+        if size > 0.9 * before:  # no long chains are left
+            break
+    label = _spread_cycles(left.where("src <> dst"))
+    rings = left.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("cycle")).join(label.select("node"), "node", "left_anti")
+    label = cut(label.unionByName(rings))
+    for undo, looped in reversed(undone):
+        of = undo.join(label.select(F.col("node").alias("into"), "cycle"), "into")
+        back = of.join(label.select(F.col("node").alias("before"), F.col("cycle").alias("theirs")), "before").where("cycle = theirs").select("node", "cycle").distinct()
+        alone = looped.join(back, "node", "left_anti").select("node", F.col("node").alias("cycle"))
+        label = cut(label.unionByName(back).unionByName(alone))
+    label = label.join(label.groupBy("cycle").agg(F.min("node").alias("least")), "cycle").select("node", F.col("least").alias("cycle"))
+    label = cut(label.unionByName(loops.join(label.select("node"), "node", "left_anti")))
+    # steps from each cycle's smallest node; an edge that leads no further from it closes a way round
+    inner = cut(edges.join(label.withColumnRenamed("node", "src"), "src").join(label.select(F.col("node").alias("dst"), F.col("cycle").alias("c")), "dst").where("cycle = c").select("src", "dst"))
+    far = frontier = cut(label.where("node = cycle").select("node", F.lit(0).alias("depth")))
+    for depth in count(1):
+        frontier = cut(inner.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(far, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            break
+        far = far.unionByName(frontier)
+    closing = inner.join(far.select(F.col("node").alias("src"), F.col("depth").alias("d0")), "src").join(far.select(F.col("node").alias("dst"), F.col("depth").alias("d1")), "dst").where("d1 <= d0")
+    backs = closing.groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_set("dst")).alias("back_to"))
+    return label.join(backs, "node", "left").select("node", "cycle", F.coalesce("back_to", F.array().cast("array<string>")).alias("back_to"))
 
 
 def find_cycles(edges: DataFrame, max_colocated_edges: int = MAX_COLOCATED_EDGES) -> DataFrame:
     """(node, cycle, back_to): the nodes that lie on a cycle, the smallest node of their strongly connected component, and
-    the nodes on the walk's path to which a back edge led from them (null for components worked on by joins).
+    where back edges lead from them: edges without which no cycle is left.
 
     Peels off what cannot be on a cycle, finds the connected components of the rest, and co-locates each for a depth-first
-    walk with node colouring. A component of more than max_colocated_edges is never gathered in one task: it is worked on by
-    joins, exactly."""
+    walk with node colouring; back edges lead to a node on the walk's path. A component of more than max_colocated_edges is
+    never gathered in one task: it is worked on by joins, with the same nodes and cycles, and its back edges are those
+    that lead no further from the cycle's smallest node."""
     core = peel(edges)
     if core.isEmpty():
-        return core.select(F.col("src").alias("node"), F.col("src").alias("cycle"), F.lit(None).cast("array<string>").alias("back_to"))
+        return core.select(F.col("src").alias("node"), F.col("src").alias("cycle"), F.array().cast("array<string>").alias("back_to"))
     comp = components(core)
     tagged = cut(core.join(comp.withColumnRenamed("node", "src"), "src"))
-    large = [r[0] for r in tagged.groupBy("component").count().where(F.col("count") > max_colocated_edges).select("component").limit(10_000).collect()]
-    small = tagged.where(~F.col("component").isin(large)) if large else tagged
-    out = small.groupBy("component").applyInArrow(_component_cycles, "node string, cycle string, back_to array<string>")
-    return out.unionByName(_large_cycles(tagged.where(F.col("component").isin(large)).select("src", "dst"))) if large else out
+    large = cut(tagged.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_colocated_edges).select("component"))
+    out = tagged.join(large, "component", "left_anti").groupBy("component").applyInArrow(_component_cycles, "node string, cycle string, back_to array<string>")
+    return out if large.isEmpty() else out.unionByName(_large_cycles(tagged.join(large, "component", "left_semi").select("src", "dst")))
 
 
-def hierarchy_paths(edges: DataFrame, cycles: DataFrame, max_rounds: int = 40) -> DataFrame:
+def hierarchy_paths(edges: DataFrame, cycles: DataFrame) -> DataFrame:
     """(node, root, depth, path): for each node each way from a root, path = the nodes from the root to it.
 
     Pointer doubling: in each round the ways of a node to an ancestor are joined with the ways of that ancestor, so a
@@ -193,7 +249,7 @@ def hierarchy_paths(edges: DataFrame, cycles: DataFrame, max_rounds: int = 40) -
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     roots = nodes.join(dag.select(F.col("dst").alias("node")), "node", "left_anti").select("node", F.col("node").alias("root"), F.array("node").alias("path"))
     state = cut(dag.select(F.col("dst").alias("node"), F.col("src").alias("top"), F.array("src", "dst").alias("path"), F.lit(False).alias("done")))
-    for _ in range(max_rounds):
+    while not state.where("not done").isEmpty():
         up = state.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("path").alias("above"), F.col("done").alias("ended"))
         step = (
             state.where("not done")
@@ -206,8 +262,6 @@ def hierarchy_paths(edges: DataFrame, cycles: DataFrame, max_rounds: int = 40) -
             )
         )
         state = cut(state.where("done").unionByName(step))
-        if state.where("not done").isEmpty():
-            break
     return roots.unionByName(state.select("node", F.col("top").alias("root"), "path")).select("node", "root", (F.size("path") - 1).alias("depth"), "path")
 
 

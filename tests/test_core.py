@@ -60,14 +60,33 @@ def brute_cycles(edges):
     return out
 
 
+def reached(edges, start):
+    seen, todo = set(), [start]
+    while todo:
+        at = todo.pop()
+        new = {d for s, d in edges if s == at} - seen
+        seen |= new
+        todo += new
+    return seen
+
+
 @pytest.mark.parametrize("bound", [10_000, 0])
 def test_cycles_like_brute_force(spark, bound):
     """bound 0 sends every component through the joins that serve components too large for one task."""
     rnd = random.Random(5)
-    edges = {(f"n{rnd.randrange(60)}", f"n{rnd.randrange(60)}") for _ in range(55)} | {("x", "x"), ("p", "q"), ("q", "r"), ("r", "p"), ("r", "s")}
+    edges = {(f"n{rnd.randrange(30)}", f"n{rnd.randrange(30)}") for _ in range(30)} | {("x", "x"), ("p", "q"), ("q", "r"), ("r", "p"), ("r", "s")}
+    edges |= {(f"b{i}", f"b{i + 1}") for i in range(4)} | {(f"b{i + 1}", f"b{i}") for i in range(4)} | {(f"o{i}", f"o{(i + 1) % 20}") for i in range(20)} | {("b3", "o1"), ("n1", "b2")}
     df = spark.createDataFrame([(s, d, "Contains ") for s, d in edges] + [(None, "x", "CONTAINS"), ("y", " ", "CONTAINS"), ("k", "l", "CALLS")], "source_entity_id string, target_entity_id string, relationship_type string")
-    found = hierarchy.find_cycles(hierarchy.contains_edges(df), max_colocated_edges=bound)
-    assert {r.node for r in found.collect()} == brute_cycles(edges)
+    rows = hierarchy.find_cycles(hierarchy.contains_edges(df), max_colocated_edges=bound).collect()
+    assert {r.node for r in rows} == brute_cycles(edges) and len(rows) == len({r.node for r in rows})
+    ends = {}
+    for r in rows:
+        ends.setdefault(r.cycle, set()).add(r.node)
+    assert all(c == min(nodes) for c, nodes in ends.items())
+    for c, nodes in ends.items():  # one cycle's nodes reach each other, those of two cycles do not both ways
+        assert all(n in reached(edges, c) and c in reached(edges, n) for n in nodes)
+    assert all(d not in reached(edges, c) or c not in reached(edges, d) for c in ends for d in ends if c != d)
+    assert not brute_cycles(edges - {(r.node, b) for r in rows for b in r.back_to})
 
 
 def test_hierarchy_paths(spark):
