@@ -1,10 +1,12 @@
 """Functions paired with their documentation.
 
 The documentation of a function is its docstring column, the documentation string or leading comment within its content, or the
-comment that ends on the line directly above it in its file. The first of these that says something counts: that has, after
-everything formal is taken away (see description), at least LEAST_WORDS different words that are not words of the name. A
-symbol table over all files (repository, qualified name, normalised signature) joins documented declarations without a body to
-definitions elsewhere that have no documentation of their own; such pairs are marked as taken from a declaration.
+comment that ends on the line directly above it in its file. All of these are entered into a symbol table over all files
+(repository, qualified name, signature normalised by language, so that overloads stay apart), and definitions are joined with
+what is written at declarations of theirs that have no body. Only then is filtered: of a function's documentation, its own
+first, the first counts that says something, that has, after everything formal is taken away (see description), at least
+LEAST_WORDS different words that are not words of the name. Of several declarations of a symbol the one that says something
+counts, then the first by path and line.
 
 Comments above functions are found in the files as a table of comment ends and joined by file and line, so no file is
 co-located with its functions and a file with very many functions is no hot group. Functions whose documentation is null, empty
@@ -223,53 +225,91 @@ def words_of(text: str) -> list[str]:
     return sorted({w.lower() for w in _WORD.findall(_CJK.sub(" ", text))} | set(_CJK.findall(text)))
 
 
-def normal_signature(signature: str | None) -> str:
-    """A signature without names, defaults and white space: its parameters' types, or _ where there are none."""
-    if not signature:
-        return ""
-    m = re.search(r"\(", signature)
-    if not m:
-        return ""
-    depth, parts, part = 0, [], ""
-    for ch in signature[m.end() :]:
-        if ch in "([{<":
-            depth += 1
-        elif ch in ")]}>":
-            if ch == ")" and depth == 0:
-                break
-            depth -= 1
-        if ch == "," and depth == 0:
-            parts.append(part)
-            part = ""
-        else:
-            part += ch
-    parts = [p.split("=")[0].strip() for p in [*parts, part] if p.strip() and p.strip() not in ("self", "cls", "this")]
-    types = [re.sub(r"\s+", "", p.split(":", 1)[1]) if ":" in p else re.sub(r"\s+", "", p.rsplit(None, 1)[0]) if " " in p else "_" for p in parts]
-    return f"({','.join(types)})"
-
+_OPEN, _CLOSE = "([{<", ")]}>"
 
-_OWN = pa.schema([("source", pa.string()), ("description", pa.string()), ("name_words", pa.list_(pa.string())), ("shape", pa.string()), ("has_body", pa.bool_())])
 
-
-def _own_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parameters(signature: str, at: int) -> tuple[list[str], int]:
+    """The parameters in the brackets that open at ``at``, and the place behind these."""
+    depth, parts, start = 0, [], at + 1
+    for i in range(at, len(signature)):
+        c = signature[i]
+        if c in _OPEN:
+            depth += 1
+        elif c in _CLOSE and not (c == ">" and signature[i - 1] in "-="):
+            depth -= 1
+        if (c == "," and depth == 1) or depth == 0:
+            parts.append(signature[start:i])
+            start = i + 1
+        if depth == 0:
+            return parts, i + 1
+    return [*parts, signature[start:]], len(signature)
+
+
+def _type(parameter: str, language: str) -> str:
+    """A parameter's type without white space; _ where none is given."""
+    text = parameter.strip()
+    if language == "java":
+        text = re.sub(r"@\w+(?:\([^)]*\))?\s*|\bfinal\s+", "", text)
+        m = re.match(r"(.+?)\s*\b[\w$]+\s*((?:\[\])*)$", text, re.S)
+        kind = m[1] + m[2] if m else text
+    else:
+        name, colon, kind = text.partition(":")
+        stars = re.match(r"\*{0,2}", text)[0] if language == "python" else "..." if text.startswith("...") else ""
+        kind = stars + (re.split(r"=(?!>)", kind)[0].strip() if colon and "=" not in name else "") or "_"
+    return re.sub(r"\s+", "", kind)
+
+
+def normal_signature(signature: str | None, ext: str | None = None) -> str:
+    """A signature without names, defaults and white space: its parameters' types by the rules of the language that the
+    extension stands for (in Go the last word, and names that share a type; in Java the first words; else what follows a
+    colon), or _ where there are none."""
+    language = {"go": "go", "java": "java", "py": "python", "pyi": "python", "pyw": "python"}.get(ext or "", "script")
+    text = signature or ""
+    at = text.find("(")
+    if language == "go" and at >= 0 and re.match(r"\s*func\s*\($", text[: at + 1]):
+        at = text.find("(", _parameters(text, at)[1])  # the first brackets are the receiver's
+    if at < 0:
+        return ""
+    parts = [p for p in _parameters(text, at)[0] if p.strip()]
+    if language == "go":
+        words = [p.split(None, 1) for p in parts]
+        if any(len(w) == 2 for w in words):  # names are given: one without a type has that of the next with one
+            kinds, later = [], "_"
+            for w in reversed(words):
+                later = re.sub(r"\s+", "", w[1]) if len(w) == 2 else later
+                kinds.append(later)
+            return f"({','.join(reversed(kinds))})"
+        return f"({','.join(w[0] for w in words)})"
+    if parts and re.fullmatch(r"\s*(?:self|cls|this)\b\s*(?::.*)?", parts[0], re.S):
+        parts = parts[1:]
+    return f"({','.join(_type(p, language) for p in parts if p.strip() not in ('*', '/'))})"
+
+
+_DOCS = pa.list_(pa.struct([("source", pa.string()), ("words", pa.int32()), ("description", pa.string())]))
+_OWN = pa.schema([("docs", _DOCS), ("name_words", pa.list_(pa.string())), ("shape", pa.string()), ("has_body", pa.bool_())])
+_OWN_DDL = "docs array<struct<source:string,words:int,description:string>>, name_words array<string>, shape string, has_body boolean"
+
+
+def _own_docs(texts: bool):
     """Adds to rows that end in (name, docstring, content, ext, signature) what they say of themselves."""
-    for batch in batches:
-        names, docs, contents, exts, signatures = (batch.column(i).to_pylist() for i in range(batch.num_columns - 5, batch.num_columns))
-        out = []
-        for name, doc, content, ext, signature in zip(names, docs, contents, exts, signatures):
-            found = (None, None)
-            own, python = name_words(name), ext in _PYTHON
-            ways = [("docstring", lambda: doc)]
-            if content:
-                ways += [("content", lambda: python_docstring(content) if python else None), ("content", lambda: leading_comment(content, python))]
-            for source, get in ways:
-                text = description(get())
-                if len(set(words_of(text)) - own) >= LEAST_WORDS:
-                    found = (source, text)
-                    break
-            body = bool(content) and ("{" in content or (python and not re.search(r":\s*(?:\.\.\.|pass)\s*$", content)))
-            out.append((*found, sorted(own), normal_signature(signature), body))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-4], *(pa.array(c, t.type) for c, t in zip(zip(*out), _OWN))] if out else [*batch.columns[:-4], *(pa.array([], t.type) for t in _OWN)], names=[*batch.schema.names[:-4], *_OWN.names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, columns, contents, exts, signatures = (batch.column(i).to_pylist() for i in range(batch.num_columns - 5, batch.num_columns))
+            out = []
+            for name, column, content, ext, signature in zip(names, columns, contents, exts, signatures):
+                own, python, content = name_words(name), ext in _PYTHON, content or ""
+                said = []
+                for source, doc in (("docstring", column), ("content", python_docstring(content) if python else None), ("content", leading_comment(content, python))):
+                    text = description(doc)
+                    if text:
+                        said.append({"source": source, "words": len(set(words_of(text)) - own), "description": text if texts else None})
+                body = "{" in content or (python and bool(content) and not re.search(r":\s*(?:\.\.\.|pass)\s*$", content))
+                out.append((said, sorted(own), normal_signature(signature, ext), body))
+            arrays = [pa.array(c, f.type) for c, f in zip(zip(*out), _OWN)] if out else [pa.array([], f.type) for f in _OWN]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], *arrays], names=[*batch.schema.names[:-4], *_OWN.names])
+
+    return run
 
 
 def _comments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,27 +326,34 @@ def _comments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
 
-def documented_functions(entities: DataFrame, keep_code: bool = True) -> DataFrame:
-    """(entity_id, name, qualified_name, repository_id, file_path, source, description[, code]) of the functions and methods
-    with a documentation that says something. source: docstring, content, above or declaration."""
+def documented_functions(entities: DataFrame, texts: bool = True) -> DataFrame:
+    """(entity_id, name, qualified_name, repository_id, file_path, source[, description, code]) of the functions and methods
+    with a documentation that says something. source: docstring, content, above or declaration. Without texts the code and the
+    descriptions are left out, of the result and of the shuffles. Null repositories or names match no declaration."""
     small_batches(entities.sparkSession, 500)
     kind = norm_enum("entity_type")
     rows = entities.where(kind.isin("FUNCTION", "METHOD")).select(
         norm_id("id").alias("entity_id"), "repository_id", "file_path", F.col("start_line").cast("int").alias("start_line"), F.col("updated_at").alias("at"), "qualified_name",
-        *([F.col("content").alias("code")] if keep_code else []), "name", "docstring", "content", extension("file_path").alias("ext"), "signature",
+        *([F.col("content").alias("code")] if texts else []), "name", "docstring", "content", extension("file_path").alias("ext"), "signature",
     ).where("entity_id is not null")
-    kept = ["entity_id", "repository_id", "file_path", "start_line", "at", "qualified_name", *(["code"] if keep_code else []), "name"]
+    kept = ["entity_id", "repository_id", "file_path", "start_line", "at", "qualified_name", *(["code"] if texts else []), "name"]
     fields = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c in kept)
-    own = rows.mapInArrow(_own_docs, f"{fields}, source string, description string, name_words array<string>, shape string, has_body boolean")
+    own = rows.mapInArrow(_own_docs(texts), f"{fields}, {_OWN_DDL}")
     files = file_rows(entities).where("content is not null").select("repository_id", "file_path", "content", extension("file_path").alias("ext"))
     notes = files.mapInArrow(_comments, "repository_id string, file_path string, start_line int, above string, above_words array<string>")
     notes = notes.groupBy("repository_id", "file_path", "start_line").agg(F.max(F.struct("above", "above_words")).alias("note")).select("repository_id", "file_path", "start_line", "note.*")
     both = own.join(notes, ["repository_id", "file_path", "start_line"], "left")
-    telling = F.size(F.array_except("above_words", "name_words")) >= LEAST_WORDS
-    both = both.withColumn("description", F.when(F.col("source").isNull() & telling, F.col("above")).otherwise(F.col("description"))).withColumn("source", F.when(F.col("source").isNull() & telling, F.lit("above")).otherwise(F.col("source")))
-    columns = ["repository_id", "file_path", "qualified_name", "name", "source", "description", "shape", "has_body", *(["code"] if keep_code else [])]
-    symbols = latest(both, ["entity_id"], ["at"], columns).withColumn("symbol", F.xxhash64("repository_id", F.coalesce("qualified_name", "name"), "shape"))
-    declared = symbols.where("source is not null and not has_body").groupBy("symbol").agg(F.min("description").alias("declared"))
-    joined = symbols.where("source is null and has_body").join(declared, "symbol").withColumn("description", F.col("declared")).withColumn("source", F.lit("declaration")).drop("declared")
-    out = ["entity_id", "name", "qualified_name", "repository_id", "file_path", "source", "description", *(["code"] if keep_code else [])]
-    return symbols.where("source is not null").select(out).unionByName(joined.select(out))
+    above = F.struct(F.lit("above").alias("source"), F.size(F.array_except("above_words", "name_words")).alias("words"), (F.col("above") if texts else F.lit(None).cast("string")).alias("description"))
+    both = both.withColumn("docs", F.when(F.col("above_words").isNotNull(), F.concat("docs", F.array(above))).otherwise(F.col("docs")))
+    symbols = latest(both, ["entity_id"], ["at"], ["repository_id", "file_path", "start_line", "qualified_name", "name", "docs", "shape", "has_body", *(["code"] if texts else [])])
+    # rows that name no symbol get a key of their own, so they are no hot group
+    symbol = F.concat("repository_id", F.lit("\x1f"), F.coalesce("qualified_name", "name"), F.lit("\x1f"), "shape")
+    symbols = symbols.withColumn("symbol", F.coalesce(symbol, F.concat(F.lit("\x1e"), "entity_id")))
+    declared = symbols.where(~F.col("has_body")).select("symbol", "file_path", "start_line", F.posexplode("docs").alias("n", "doc"))
+    best = F.min(F.struct((F.col("doc.words") < LEAST_WORDS).alias("trivial"), "file_path", "start_line", "n", F.col("doc.words").alias("words"), F.col("doc.description").alias("description"))).alias("d")
+    declared = declared.groupBy("symbol").agg(best)
+    joined = symbols.join(declared, "symbol", "left")
+    theirs = F.array(F.struct(F.lit("declaration").alias("source"), F.col("d.words").alias("words"), F.col("d.description").alias("description")))
+    docs = F.when(F.col("has_body") & F.col("d").isNotNull(), F.concat("docs", theirs)).otherwise(F.col("docs"))
+    said = joined.withColumn("doc", F.try_element_at(F.filter(docs, lambda x: x["words"] >= LEAST_WORDS), F.lit(1))).where("doc is not null")
+    return said.select("entity_id", "name", "qualified_name", "repository_id", "file_path", F.col("doc.source").alias("source"), *([F.col("doc.description").alias("description"), "code"] if texts else []))

@@ -23,8 +23,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    found = docs.documented_functions(table(spark, d, "code_entities"), keep_code=False)
-    return found.where("source <> 'declaration'").select("entity_id")
+    return docs.documented_functions(table(spark, d, "code_entities"), texts=False).select("entity_id")
 
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:

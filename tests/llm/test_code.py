@@ -127,10 +127,19 @@ def test_documented_functions(spark):
     df = spark.createDataFrame(rows, ENT)
     got = {r.entity_id: r.source for r in docs.documented_functions(df).collect()}
     assert got == {"above": "above", "inner": "content", "col": "docstring", "lead": "content", "d": "docstring", "i": "declaration"}
-    assert docs.documented_functions(df.where("false"), keep_code=False).count() == 0
+    assert docs.documented_functions(df.where("false"), texts=False).count() == 0
     assert decl
 
 
+def test_signatures():
+    for ext, signature, shape in (
+        ("go", "func (s *Store[K, V]) Put(ctx context.Context, a, b int, opts ...func(x int) error) (int, error)", "(context.Context,int,int,...func(xint)error)"), ("go", "func f(int, string)", "(int,string)"), ("go", "func f()", "()"),
+        ("java", "public <T> void put(final Map<String, List<T>> m, @Nullable int[] a, String... rest)", "(Map<String,List<T>>,int[],String...)"), ("java", "int f(int a[])", "(int[])"),
+        ("py", "def f(self, a, b: dict[str, int] = {}, *args, c=(1, 2), **kw: int) -> int", "(_,dict[str,int],*,_,**int)"), ("ts", "put(this: X, a?: number, f: (x: string) => void = g, ...r: T[])", "(number,(x:string)=>void,...T[])"), ("js", "f(a, b = {x: 1})", "(_,_)"), ("py", None, ""), (None, "x", ""),
+    ):
+        assert docs.normal_signature(signature, ext) == shape, signature
+
+
 # authorship
 
 
