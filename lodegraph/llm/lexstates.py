@@ -104,3 +104,42 @@ def chunks(text: str, size: int) -> list[str]:
         out.append(text[i:end])
         i = end
     return out or [""]
+
+
+_HEADS = re.compile(r"(?:func|var|const|type|import)\b")
+
+
+def _depths(text: str, language: str):
+    """(place behind it, part, depth behind it) of the brackets and line breaks in the code of a balanced text."""
+    parts, ends = re.compile(_PARTS[language].pattern + r"|\n"), _LITERAL_END[language]
+    i, depth = 0, 0
+    while m := parts.search(text, i):
+        part, i = m[0], m.end()
+        if part == "/*":
+            i = text.find("*/", i) + 2
+        elif part in ("`", '"""'):
+            i = ends.match(text, i).end()
+        elif part in PAIRS:
+            depth += 1
+        elif part in CLOSERS:
+            depth -= 1
+        if part in CLOSERS or part == "\n":
+            yield i, part, depth
+
+
+def statements(text: str, language: str) -> list[str]:
+    """The top-level statements of a balanced text, each a text that stands for itself: in Java what ends with a brace outside of
+    all brackets, in Go what begins a line there with a declaration's word. One, the whole, where imports would come late."""
+    cuts = [0]
+    for at, part, depth in _depths(text, language):
+        if depth == 0 and (part == "}" if language == "java" else part == "\n" and _HEADS.match(text, at)):
+            cuts.append(at)
+    if cuts[-1] < len(text):
+        cuts.append(len(text))
+    out = [text[a:b] for a, b in zip(cuts, cuts[1:])]
+    if language == "java":
+        return [text] if any(re.search(r"^\s*(?:import|package)\b", p, re.M) for p in out[1:]) else out or [text]
+    late = [n for n, p in enumerate(out[1:]) if p.startswith("import")]
+    if late != list(range(len(late))):
+        return [text]
+    return [p if n == 0 else f"package p\n{p}" for n, p in enumerate(out)]

@@ -55,6 +55,10 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return parsing.parse_rates(parsing.check_files(table(spark, d, "code_entities")))
 
 
+def p5_stages(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.parse_stages(parsing.check_files(table(spark, d, "code_entities")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, d, "code_entities")).select("entity_id")
 
@@ -84,7 +88,7 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_pairs, p4_found, p4_knn, p5_found, p5_rates, p6_found, p6_kinds, p8_ids, p9_mix, p9_shares, p10_found, p10_shared)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_pairs, p4_found, p4_knn, p5_found, p5_rates, p5_stages, p6_found, p6_kinds, p8_ids, p9_mix, p9_shares, p10_found, p10_shared)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -100,6 +100,24 @@ def test_unparsable_files(spark):
     assert parsing.unparsable(df.where("false")).count() == 0
 
 
+def test_maps_of_many_ranges(spark):
+    """Texts of thousands of chunks: the maps are composed over several levels, wherever they lie."""
+    body = "".join(f'func f{i}() {{ g("{{", `[\n`, {i})\n}}\n' for i in range(3000))
+    texts = {"good": "package p\n" + body, "open": "package p\n" + body + "func h() {\n", "kind": "package p\nfunc h() { x[(1]) }\n" + body, "late": "package p\n" + body + 'import "x"\n'}
+    df = spark.createDataFrame([row(k, "FILE", f"{k}.go", t) for k, t in texts.items()], ENT).repartition(4)
+    got = {r.entity_id: (r.problem is None, r.stage) for r in parsing.check_files(df, 10).collect()}
+    assert got == {"good": (True, "statements"), "open": (False, "maps"), "kind": (False, "maps"), "late": (False, "statements")}
+    stages = {(r.stage, r.files, r.invalid) for r in parsing.parse_stages(parsing.check_files(df, 10)).collect()}
+    assert stages == {("maps", 2, 2), ("statements", 2, 1)}
+
+
+def test_statements():
+    for language, texts in (("go", ["package p\nimport (\n\t\"a\"\n)\nimport \"b\"\nvar x = 1 +\nfunc() int { return 1 }()\n", "package p\n/*\nfunc\n*/\nvar s = `\nvar`\ntype T struct {\n\tvar_ int\n}\n", "package p"]), ("java", ["package a;\nimport b.C;\n@X({1})\nclass A { void f() { } }\n/* { */ interface B { }\n;", "", "class A { }"])):
+        for text in texts:
+            assert parsing.by_statements(text, language) is None, text
+    assert parsing.by_statements("class A { }\nimport b.C;\nclass D { }", "java") and parsing.by_statements("package p\nfunc f() { }\nfunc { }\n", "go")
+
+
 # documentation
 
 SAYS = "Keeps every lease in order until the broker drops its oldest token."
