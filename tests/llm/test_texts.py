@@ -122,6 +122,23 @@ def test_shared_spans_like_brute_force(spark, n, batches):
     assert got == shared_chars([(i, x) for i, x in docs if x], n)
 
 
+def test_index_is_kept_and_compacted(spark, tmp_path):
+    post = lambda rows: spark.createDataFrame(rows, "h long, o1 long, o2 long")
+    index = spans.FingerprintIndex(spark, 4, 2, str(tmp_path / "index"))
+    assert index.add(post([(1, 7, 7), (2, 7, 7), (2, 7, 7)])).count() == 0
+    index.close()
+    index = spans.FingerprintIndex(spark, 4, 2, str(tmp_path / "index"))
+    assert len(index.runs) == 1
+    # 2 by a text that differs in the second half of its digest only, 3 within the batch
+    assert sorted(r.h for r in index.add(post([(2, 7, 8), (1, 7, 7), (3, 1, 1), (3, 2, 1)])).collect()) == [2, 3]
+    assert len(index.runs) == 1  # compacted
+    index.close()
+    index = spans.FingerprintIndex(spark, 4, 9, str(tmp_path / "index"))
+    assert {(r.h, r.n) for r in index.add(post([(1, 9, 9), (4, 9, 9)])).collect()} == {(1, 3)} and len(index.runs) == 2
+    index.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("run_")] and len(list((tmp_path / "index").iterdir())) == 2
+
+
 def test_shared_spans_of_nothing(spark):
     assert spans.shared_spans(spark.createDataFrame([], DOCS)).count() == 0
 
