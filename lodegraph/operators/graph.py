@@ -17,7 +17,7 @@ from ..functions import constants as K
 from ..session import cut
 from ..tables import norm_enum, norm_id
 from . import hierarchy
-from .skew import lookup_join
+from .skew import few, lookup_join
 
 ENTITY_COLUMNS = ["repository_id", "entity_type", "name", "qualified_name", "file_path", "start_line", "end_line", "start_column", "end_column", "language", "signature", "docstring", "complexity_score"]
 
@@ -35,9 +35,9 @@ def entities(code_entities: DataFrame, columns: list[str] | None = None) -> Data
     return _newest(rows.where("id is not null"), "_at", columns)
 
 
-def relationships(table: DataFrame) -> DataFrame:
-    """One row per relationship in normal form: of repeated deliveries the one ingested last."""
-    columns = ["repository_id", "src", "dst", "type", "strength", "frequency", "line_number", "context", "created_at"]
+def relationships(table: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row per relationship in normal form: of repeated deliveries the one ingested last. columns: only these."""
+    columns = columns or ["repository_id", "src", "dst", "type", "strength", "frequency", "line_number", "context", "created_at"]
     rows = table.select(norm_id("id").alias("id"), F.col("ingested_at").alias("_at"), "repository_id", norm_id("source_entity_id").alias("src"), norm_id("target_entity_id").alias("dst"), norm_enum("relationship_type").alias("type"), "strength", "frequency", "line_number", "context", "created_at")
     return _newest(rows.where("id is not null"), "_at", columns)
 
@@ -59,11 +59,12 @@ def neighbours(rels: DataFrame, ids: DataFrame, direction: str = "both", types:
     """(id, entity_id, other_id, direction, type, strength, frequency): relationships of the entities in ids(id).
     direction: outgoing, incoming or both; with both a self-relationship comes once each way."""
     some = rels.where(F.col("type").isin(types)) if types else rels
-    wanted = ids.select("id").distinct()
+    wanted = cut(ids.select("id").distinct())
     out = some.select("id", F.col("src").alias("entity_id"), F.col("dst").alias("other_id"), F.lit("outgoing").alias("direction"), "type", "strength", "frequency")
     into = some.select("id", F.col("dst").alias("entity_id"), F.col("src").alias("other_id"), F.lit("incoming").alias("direction"), "type", "strength", "frequency")
     both = {"outgoing": out, "incoming": into}.get(direction, out.unionByName(into))
-    return lookup_join(both, wanted.withColumnRenamed("id", "entity_id"), "entity_id", "left_semi")
+    wanted = wanted.withColumnRenamed("id", "entity_id")
+    return both.join(F.broadcast(wanted), "entity_id", "left_semi") if few(wanted) else lookup_join(both, wanted, "entity_id", "left_semi")
 
 
 def entity_context(rels: DataFrame, ents: DataFrame, ids: DataFrame, depth: int = 1, types: list[str] | None = None) -> DataFrame:
@@ -117,15 +118,28 @@ def hop_expansion(rels: DataFrame, relevance: DataFrame, seeds: DataFrame, hops:
 
     relevance: (id, relevance) of all entities. An edge's score is relevance * weight of its type * 0.8^hop; a node enters at
     the first hop at which an edge reaches the threshold, by its best edge (ties: smallest type, then smallest origin).
-    max_nodes stops further hops once so many nodes are in."""
-    both = rels.where("src is not null and dst is not null and src <> dst").select("src", "dst", "type").unionByName(rels.where("src is not null and dst is not null and src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type")).distinct()
-    both = cut(both)
+    max_nodes stops further hops once so many nodes are in. Each hop filters the edges by the frontier at either end, which is
+    broadcast if its count allows it; edges are not doubled, written or made distinct as a whole."""
+    edges = rels.where("src is not null and dst is not null and src <> dst").select("src", "dst", "type")
+
+    def beyond(frontier: DataFrame) -> DataFrame:
+        ids = frontier.select("id")
+        if few(ids):
+            ends = [F.broadcast(ids.select(F.col("id").alias(c), F.lit(True).alias(f"_{c}"))) for c in ("src", "dst")]
+            met = edges.join(ends[0], "src", "left").join(ends[1], "dst", "left").where("_src or _dst")
+            out = F.when(F.col("_src"), F.struct("src", "dst", "type"))
+            into = F.when(F.col("_dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "type"))
+            return met.select(F.explode(F.array_compact(F.array(out, into))).alias("e")).select("e.*").distinct()
+        back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
+        starts = ids.withColumnRenamed("id", "src")
+        return lookup_join(edges, starts, "src", "left_semi").unionByName(lookup_join(back, starts, "src", "left_semi")).distinct()
+
     seen = cut(seeds.select("id", F.lit(0).alias("hop"), "score", F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("type")))
     frontier = seen
     for hop in range(1, hops + 1):
         if max_nodes is not None and seen.count() >= max_nodes:
             break
-        reached = lookup_join(both, frontier.select(F.col("id").alias("src")), "src", "left_semi").join(relevance.withColumnRenamed("id", "dst"), "dst")
+        reached = beyond(frontier).join(relevance.withColumnRenamed("id", "dst"), "dst")
         scored = reached.withColumn("score", C.hop_score(F.col("relevance"), "type", hop)).where(F.col("score") >= threshold)
         best = scored.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((-F.col("score")).alias("s"), "type", "src")).alias("x"))
         frontier = cut(best.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hop"), (-F.col("x.s")).alias("score"), F.col("x.src").alias("via"), F.col("x.type").alias("type")))

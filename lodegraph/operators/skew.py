@@ -23,6 +23,15 @@ def hot_list(big: DataFrame, key: str) -> list:
     return [r[0] for r in hot_keys(big, key).collect()]
 
 
+#: Rows up to which a side is counted before it is broadcast (ids and a few numbers: about 10 MB).
+FEW = 100_000
+
+
+def few(df: DataFrame, rows: int = FEW) -> bool:
+    """Whether df has so few rows that it may be broadcast; counts no further. df should be materialised."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", hot: list | None = None) -> DataFrame:
     """``big`` joined with ``small``, which has at most one row per key.
 

@@ -6,6 +6,7 @@ import json
 import time
 import uuid
 from collections import OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,6 +85,7 @@ class CodeGraph:
     def __init__(self, spark: SparkSession, root: str, provider: embed.Provider | None = None) -> None:
         self.spark, self.root, self.provider, self.cache = spark, root.rstrip("/"), provider or embed.hashing_provider(), Cache()
         self.log: list[tuple[float, bool]] = []
+        self.active: dict[str, dict] = {}
         ship(spark)
 
     def _table(self, name: str) -> DataFrame:
@@ -102,11 +104,30 @@ class CodeGraph:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return bool(path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path))
 
-    def parse_repo(self, path: str, repository_id: str | None = None, incremental: bool = False, languages: list[str] | None = None, exclude: list[str] | None = None, drop_dangling: bool = True) -> dict:
-        """Indexes a source tree: scan, extraction and embedding in one pass, then one write per table that replaces what the
-        repository had. incremental: only files whose hash changed are read anew; the rest is kept."""
+    def parse_repo(self, path: str, repository_id: str | None = None, incremental: bool = False, languages: list[str] | None = None, exclude: list[str] | None = None, drop_dangling: bool = True, progress: Callable[[str, float], None] | None = None) -> dict:
+        """Indexes a source tree: scan, extraction and embedding in one pass, then all tables of the repository are replaced at
+        once: written aside, counted, and put in place, or left as they were. incremental: only files whose hash changed are
+        read anew; the rest is kept. progress is told each phase by name and share, as processing_status() is."""
+        if not path or not path.strip():
+            raise RequestError(400, "the path is missing or blank")
+        state = source_files.folder_state(self.spark, path)
+        if state != "folder":
+            raise RequestError(404 if state == "missing" else 400, f"{path} is {'missing' if state == 'missing' else 'no folder'}")
         repository_id = repository_id or str(uuid.uuid5(uuid.NAMESPACE_URL, path))
-        rules = SourceFilter(custom=exclude or [], include_docs=False)
+
+        def phase(name: str, share: float) -> None:
+            self.active[repository_id] = {"repository_id": repository_id, "phase": name, "progress": share}
+            if progress:
+                progress(name, share)
+
+        try:
+            return self._parse(path, repository_id, incremental, languages, exclude, drop_dangling, phase)
+        finally:
+            self.active.pop(repository_id, None)
+
+    def _parse(self, path: str, repository_id: str, incremental: bool, languages: list[str] | None, exclude: list[str] | None, drop_dangling: bool, phase: Callable[[str, float], None]) -> dict:
+        phase("scan", 5.0)
+        rules = SourceFilter(custom=exclude or [], include_docs=False, gitignore=source_files.ignore_rules(self.spark, path))
         found = source_files.scan(self.spark, path, repository_id, rules=rules, languages=languages).cache()
         try:
             if incremental and self._exists("files"):
@@ -115,7 +136,9 @@ class CodeGraph:
                 fresh = found.join(changed.where("change <> 'removed'"), ["repository_id", "file_path"], "left_semi")
             else:
                 incremental, fresh = False, found
+            phase("extract", 25.0)
             extracted = cut(extract.extract_files(fresh))
+            phase("embed", 60.0)
             ents = extract.entity_rows(extracted)
             ents = embed.embed_column(ents.withColumn("_text", C.recipe_full("entity_type", "name", "signature", "docstring", "content")), "_text", provider=self.provider).drop("_text")
             rels = extract.relationship_rows(extracted).withColumnRenamed("source_entity_id", "src").withColumnRenamed("target_entity_id", "dst").withColumnRenamed("relationship_type", "type")
@@ -126,14 +149,14 @@ class CodeGraph:
             if drop_dangling:
                 rels = graph.resolvable(rels, ents)
             ents, rels = cut(ents), cut(rels.dropDuplicates(["id"]))
-            source_files.replace_repositories(ents, f"{self.root}/entities")
-            source_files.replace_repositories(rels, f"{self.root}/relationships")
-            source_files.replace_repositories(found.drop("content"), f"{self.root}/files")
+            phase("store", 85.0)
             s = extract.parse_stats(extracted).first()
             totals = source_files.repository_stats(found).first()
             repo = self.spark.createDataFrame([(repository_id, path, path.rstrip("/").rsplit("/", 1)[-1], int(totals.file_count) if totals else 0, int(totals.size_bytes) if totals else 0)], "repository_id string, path string, name string, file_count long, size_bytes long").withColumn("last_indexed", F.current_timestamp())
-            source_files.replace_repositories(repo, f"{self.root}/repositories")
-            return {"repository_id": repository_id, "status": "completed", "progress": 100.0, "files": s.files if s else 0, "parsed": s.parsed if s else 0, "entities": ents.count(), "relationships": rels.count()}
+            stored = source_files.install_repository({"entities": ents, "relationships": rels, "files": found.drop("content"), "repositories": repo}, self.root, repository_id)
+            self.clear_cache()
+            phase("completed", 100.0)
+            return {"repository_id": repository_id, "status": "completed", "progress": 100.0, "files": s.files if s else 0, "parsed": s.parsed if s else 0, "entities": stored["entities"], "relationships": stored["relationships"]}
         finally:
             found.unpersist()
 
@@ -144,7 +167,7 @@ class CodeGraph:
         most, threshold = 20 if most is None else most, 0.3 if threshold is None else threshold
         key = json.dumps([repository_id, text, most, threshold, sorted(types or []), sorted(languages or []), path, include_related, task])
         if use_cache and (hit := self.cache.get(key)) is not None:
-            return hit
+            return self.spark.createDataFrame(*hit)
         began = time.time()
         if repository_id is not None and not self.repositories().where(F.col("id") == repository_id).head(1):
             raise RequestError(404, "unknown repository")
@@ -165,7 +188,9 @@ class CodeGraph:
         adapted = retrieval.adapt_to_task(ranked.drop("rank"), task or task_of(text)).where(F.col("task_rank") <= most).withColumnRenamed("task_rank", "rank")
         why = F.when(F.col("tier") == "primary", "semantic_similarity").otherwise("graph_traversal")
         out = retrieval.result_rows(adapted, types or [], languages or [], why)
-        self.cache.put(key, out)
+        rows = out.collect()  # at most ``most`` rows, and so never more than check_request allows
+        self.cache.put(key, (rows, out.schema))
+        out = self.spark.createDataFrame(rows, out.schema)
         self.log.append((time.time() - began, True))
         return out
 
@@ -201,10 +226,26 @@ class CodeGraph:
         covered = ents.select("file_path").distinct().count()
         return {"repository_id": repository_id, "entities": row.entities, "relationships": row.relationships, "files": files, "coverage": min(100.0, covered / files * 100) if files else 0.0, "last_indexed": row.last_indexed, "status": "completed"}
 
+    def clear_cache(self) -> int:
+        """Forgets all answers; returns how many there were. Every write does so."""
+        n = len(self.cache.kept)
+        self.cache.kept.clear()
+        return n
+
+    def processing_status(self, repository_id: str | None = None) -> list[dict]:
+        """Phase and progress of the repositories that are being indexed by this object, or of one of them."""
+        return [x for r, x in list(self.active.items()) if repository_id in (None, r)]
+
+    def counts(self) -> dict:
+        """Numbers of nodes and relationships of all repositories."""
+        return {"nodes": self._table("entities").count(), "relationships": self._table("relationships").count()}
+
     def delete(self, repository_id: str) -> bool:
+        self.clear_cache()
         return any([source_files.delete_repository(self.spark, f"{self.root}/{t}", repository_id) for t in ("entities", "relationships", "files", "repositories")])
 
     def clear(self) -> int:
+        self.clear_cache()
         return max(source_files.clear(self.spark, f"{self.root}/{t}") for t in ("entities", "relationships", "files", "repositories"))
 
     def health(self) -> dict:
@@ -218,7 +259,7 @@ class CodeGraph:
 
 
 def main(argv: list[str] | None = None) -> int:
-    """Command line: parse-repo, query, status, list, delete, clear. Give --root the folder of the graph's tables."""
+    """Command line: parse-repo, update, query, status, list, delete, clear. Give --root the folder of the graph's tables."""
     import argparse
 
     from ..config import load_config
@@ -227,12 +268,13 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--root")
     p.add_argument("--config")
     sub = p.add_subparsers(dest="verb", required=True)
-    a = sub.add_parser("parse-repo")
-    a.add_argument("path")
-    a.add_argument("--repository-id")
-    a.add_argument("--incremental", action="store_true")
-    a.add_argument("--languages", nargs="*")
-    a.add_argument("--exclude", nargs="*")
+    for verb in ("parse-repo", "update"):
+        a = sub.add_parser(verb)
+        a.add_argument("path")
+        a.add_argument("--repository-id")
+        a.add_argument("--incremental", action="store_true", default=verb == "update")
+        a.add_argument("--languages", nargs="*")
+        a.add_argument("--exclude", nargs="*")
     a = sub.add_parser("query")
     a.add_argument("text")
     a.add_argument("--repository-id")
@@ -251,7 +293,7 @@ def main(argv: list[str] | None = None) -> int:
     config = load_config(o.config)
     g = CodeGraph(SparkSession.builder.getOrCreate(), o.root or config.root, embed.hashing_provider(config.embedding.dimension))
     try:
-        if o.verb == "parse-repo":
+        if o.verb in ("parse-repo", "update"):
             print(json.dumps(g.parse_repo(o.path, o.repository_id, o.incremental, o.languages, o.exclude), default=str))
         elif o.verb == "query":
             most = config.retrieval.max_results if o.max_results is None else o.max_results

@@ -54,8 +54,8 @@ def ents(s: SparkSession, d: str, *more: str) -> DataFrame:
     return graph.entities(table(s, d, "code_entities"), graph.ENTITY_COLUMNS + list(more))
 
 
-def rels(s: SparkSession, d: str) -> DataFrame:
-    return graph.relationships(table(s, d, "relationships"))
+def rels(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    return graph.relationships(table(s, d, "relationships"), list(columns) or None)
 
 
 # counts and measures
@@ -155,7 +155,7 @@ HUB = ", hub as (select dst as id from rel where dst is not null group by dst or
 
 def hub(s, d):
     """The most referenced entity."""
-    return rels(s, d).where("dst is not null").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "id").limit(1).select("id")
+    return rels(s, d, "dst").where("dst is not null").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "id").limit(1).select("id")
 
 
 @query(WITH + HUB + "select id, src as entity_id, dst as other_id, 'outgoing' as direction, type, strength, frequency from rel where src in (select id from hub)")
@@ -236,7 +236,7 @@ def graph_relevance(s, d):
 )
 def two_hop_scored(s, d):
     seeds = hub(s, d).select("id", F.lit(1.0).alias("score"))
-    found = graph.hop_expansion(rels(s, d), ents(s, d).select("id", F.lit(0.9).alias("relevance")), seeds, hops=2)
+    found = graph.hop_expansion(rels(s, d, "src", "dst", "type"), ents(s, d).select("id", F.lit(0.9).alias("relevance")), seeds, hops=2)
     return found.select("id", "hop", F.round("score", 6).alias("score"))
 
 
@@ -488,14 +488,17 @@ def query_quality(s, d):
 @query()
 def retrieve_context(s, d):
     """The whole retrieval on real vectors: score, threshold, multi-hop context, hybrid re-ranking, diversification, task."""
-    e = graph.entities(table(s, d, "code_entities"), graph.ENTITY_COLUMNS + ["embedding_vector"]).where(F.size("embedding_vector") == 384)
-    q = e.orderBy("id").limit(1).first()
+    raw = table(s, d, "code_entities").select(norm_id("id").alias("id"), "updated_at", "embedding_vector").where("id is not null and size(embedding_vector) = 384")
+    q = raw.orderBy("id", F.desc("updated_at")).limit(1).first()
     vector = [float(x or 0) for x in q.embedding_vector] if q else [0.0] * 384
-    sc = graph.cut(retrieval.score_against(e, vector, "embedding_vector").drop("embedding_vector"))
-    seeds = retrieval.top_k(sc.where("score >= 0.3 and not isnan(score)"), 40)
-    context = graph.hop_expansion(rels(s, d), sc.select("id", C.relevance("score").alias("relevance")), seeds.select("id", "score"))
-    extra = sc.drop("score").join(context.where("hop > 0").select("id", "score"), "id")
-    best = retrieval.diversify(retrieval.hybrid(seeds.unionByName(extra), "fix the function"), 20)
+    # vectors are scored where they lie; what is shuffled, kept and expanded is (id, score), and only what is shown is looked up
+    sc = graph.cut(retrieval.score_against(raw, vector, "embedding_vector").groupBy("id").agg(F.max_by("score", "updated_at").alias("score")))
+    seeds = graph.cut(retrieval.top_k(sc.where("score >= 0.3 and not isnan(score)"), 40))
+    context = graph.hop_expansion(rels(s, d, "src", "dst", "type"), sc.select("id", C.relevance("score").alias("relevance")), seeds.select("id", "score"))
+    found = graph.cut(seeds.unionByName(context.where("hop > 0").select("id", "score")))
+    code = table(s, d, "code_entities").withColumn("id", norm_id("id"))
+    code = code.join(F.broadcast(found.select("id").distinct()), "id", "left_semi") if graph.few(found) else code.join(found.select("id").distinct(), "id", "left_semi")
+    best = retrieval.diversify(retrieval.hybrid(graph.entities(code).join(found, "id"), "fix the function"), 20)
     return retrieval.result_rows(retrieval.adapt_to_task(best.drop("rank"), "bug_fix").withColumnRenamed("task_rank", "rank"), ["FUNCTION"], [])
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -21,24 +23,28 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. A cluster names it in spark.checkpoint.dir; only where that is unset
-    (tests, one machine) a temporary folder stands in."""
+    (tests, one machine) a temporary folder stands in; a cluster without the setting is refused."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"lodegraph-{os.getpid()}"))
         current = sc._jsc.sc().getCheckpointDir()
     return named or current.get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises df in the shared folder and drops its lineage; survives the loss of executors."""
+    """Materialises df in the shared folder and drops its lineage; survives the loss of executors. With
+    spark.cleaner.referenceTracking.cleanCheckpoints the files of levels that nothing refers to any more are removed."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -56,7 +62,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_lodegraph_shipped", False):
         return
     package = Path(__file__).resolve().parent
-    place = Path(tempfile.mkdtemp()) / "lodegraph.zip"
+    folder = Path(tempfile.mkdtemp())
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    place = folder / "lodegraph.zip"
     with zipfile.ZipFile(place, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(package.rglob("*.py")):
             z.write(p, p.relative_to(package.parent))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,20 @@ def changed_files(old: DataFrame, new: DataFrame, keys: list[str], digest: str =
     return both.select(*keys, change.alias("change")).where("change is not null")
 
 
+def folder_state(spark: SparkSession, root: str) -> str:
+    """missing, file or folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return "missing" if not fs.exists(place) else "folder" if fs.getFileStatus(place).isDirectory() else "file"
+
+
+def ignore_rules(spark: SparkSession, root: str) -> list[str]:
+    """The lines of the ignore file at the root of a tree; none if there is none. It is one small file by its nature."""
+    if folder_state(spark, f"{root}/.gitignore") != "file":
+        return []
+    return [r.value for r in spark.read.text(f"{root}/.gitignore").collect()]
+
+
 # tables of the graph, by repository
 
 
@@ -55,15 +70,65 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("repository_id").parquet(path)
 
 
-def replace_repositories(df: DataFrame, path: str) -> None:
-    """Writes the rows of the repositories in df in place of what the table has of them; other repositories stay."""
+def replace_repositories(df: DataFrame, path: str, repositories: list[str] | None = None) -> None:
+    """Writes the rows of the repositories in df in place of what the table has of them; other repositories stay. Of the named
+    repositories those without rows in df have none in the table after it."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_id").parquet(path)
+    if repositories:
+        there = {r[0] for r in df.where(F.col("repository_id").isin(repositories)).select("repository_id").distinct().collect()}
+        for name in set(repositories) - there:
+            delete_repository(df.sparkSession, path, name)
+
+
+def _partition(spark: SparkSession, path: str, repository_id: str):
+    """(path, file system) of a repository's partition."""
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(repository_id)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path, f"repository_id={name}")
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def delete_repository(spark: SparkSession, path: str, repository_id: str) -> bool:
     """Drops a repository's partition; whether there was one."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path, f"repository_id={repository_id}")
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    place, fs = _partition(spark, path, repository_id)
+    return fs.delete(place, True)
+
+
+class InconsistentWrite(RuntimeError):
+    """Fewer or more rows were stored than were made."""
+
+
+def install_repository(tables: dict[str, DataFrame], root: str, repository_id: str) -> dict[str, int]:
+    """Replaces a repository in several tables under ``root`` at once: all rows are written aside and counted against what was
+    made, then the partitions change places by renaming. If anything fails the tables are as before. Returns the counts."""
+    spark = next(iter(tables.values())).sparkSession
+    aside, counts, moved = f"{root}/_aside_{uuid.uuid4().hex}", {}, []
+    try:
+        for name, df in tables.items():
+            counts[name] = df.count()
+            df.write.partitionBy("repository_id").parquet(f"{aside}/new/{name}")
+            stored = spark.read.schema(df.schema).parquet(f"{aside}/new/{name}").count()
+            if stored != counts[name]:
+                raise InconsistentWrite(f"{name}: {stored} rows stored of {counts[name]}")
+        for name in tables:
+            live, fs = _partition(spark, f"{root}/{name}", repository_id)
+            new, old = (_partition(spark, f"{aside}/{part}/{name}", repository_id)[0] for part in ("new", "old"))
+            fs.mkdirs(live.getParent())
+            fs.mkdirs(old.getParent())
+            if fs.exists(live):
+                fs.rename(live, old)
+            moved.append((fs, live, old))
+            if fs.exists(new) and not fs.rename(new, live):
+                raise InconsistentWrite(f"{name} could not be put in place")
+        return counts
+    except BaseException:
+        for fs, live, old in reversed(moved):
+            fs.delete(live, True)
+            if fs.exists(old):
+                fs.rename(old, live)
+        raise
+    finally:
+        place = spark._jvm.org.apache.hadoop.fs.Path(aside)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def clear(spark: SparkSession, path: str) -> int:
