@@ -64,7 +64,7 @@ def _windows(min_span: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            o1, o2, texts, marked = batch.columns
+            numbers, texts, marked = batch.columns
             for i in range(len(texts)):
                 points = code_points(texts[i].as_py())
                 starts = chosen(points, gram, window, np.sort(marked[i].values.to_numpy(zero_copy_only=False).view(np.uint64)))
@@ -78,8 +78,8 @@ def _windows(min_span: int):
                         a[base:end] = window_hashes(part, min_span, 1)[some[base:end] - some[base]]
                         b[base:end] = window_hashes(part, min_span, 2)[some[base:end] - some[base]]
                         base = end
-                    same = [pa.array(np.full(len(some), o[i].as_py(), np.int64)) for o in (o1, o2)]
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), *same, pa.array(some.astype(np.int32))], names=["a", "b", "o1", "o2", "start"])
+                    number = pa.array(np.full(len(some), numbers[i].as_py(), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), number, pa.array(some.astype(np.int32))], names=["a", "b", "t", "start"])
 
     return run
 
@@ -170,7 +170,7 @@ def hot_rows(counted: DataFrame, key: str, total: int) -> list:
 
 
 def shared_windows(docs: DataFrame, min_span: int = MIN_SPAN, batches: int = 3, id_col: str = "doc_id", text_col: str = "text", index_root: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(owners, windows): the documents (doc_id, n_chars, o1, o2) and the windows (o1, o2, start) of min_span characters that
+    """(owners, windows): the documents (doc_id, n_chars, o1, o2) and the windows (o1, o2, starts) of min_span characters that
     stand in different texts. o1 and o2 are the halves of a text's digest. With index_root the fingerprints of these
     documents stay in the index there, next to those of earlier calls."""
     spark = docs.sparkSession
@@ -188,16 +188,16 @@ def shared_windows(docs: DataFrame, min_span: int = MIN_SPAN, batches: int = 3,
         # a fingerprint that a third of the texts have is met by broadcast, not gathered in one task
         marked = lookup_join(every, shared.select("h"), "h", "left_semi", hot_rows(shared, "h", total)).groupBy(*_OWNER).agg(F.collect_set("h").alias("marked"))
         first = posted.groupBy(*_OWNER).agg(F.min("doc_id").alias("first"))
-        marked = cut(marked.join(first, _OWNER))
+        marked = cut(marked.join(first, _OWNER).withColumn("t", F.monotonically_increasing_id()))  # a short name for each text
     finally:
         index.close()
     # of copies only the first is sent: the key holds its id, so even a text that is everywhere goes to one task once
     likely = _maybe_in(texts.withColumnRenamed("doc_id", "first"), marked)
-    marks = marked.select(F.col("o1").alias("m1"), F.col("o2").alias("m2"), F.col("first").alias("m"), "marked")
-    one = cut(likely.join(marks, (F.col("o1") == F.col("m1")) & (F.col("o2") == F.col("m2")) & F.col("first").eqNullSafe(F.col("m"))).select(*_OWNER, "text", "marked"))
-    windows = one.mapInArrow(_windows(min_span), "a long, b long, o1 long, o2 long, start int")
-    keys = cut(windows.groupBy("a", "b").agg(*_ends()).where(_DIFFERENT).select("a", "b"))
-    return posted.drop("hs"), windows.join(keys, ["a", "b"]).select(*_OWNER, "start")
+    marks = marked.select(F.col("o1").alias("m1"), F.col("o2").alias("m2"), F.col("first").alias("m"), "t", "marked")
+    one = cut(likely.join(marks, (F.col("o1") == F.col("m1")) & (F.col("o2") == F.col("m2")) & F.col("first").eqNullSafe(F.col("m"))).select("t", "text", "marked"))
+    windows = one.mapInArrow(_windows(min_span), "a long, b long, t long, start int")
+    keys = cut(windows.groupBy("a", "b").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("a", "b"))
+    return posted.drop("hs"), windows.join(keys, ["a", "b"]).groupBy("t").agg(F.collect_set("start").alias("starts")).join(marked.select("t", *_OWNER), "t").select(*_OWNER, "starts")
 
 
 def _maybe_in(texts: DataFrame, marked: DataFrame, most_bits: int = 1 << 29) -> DataFrame:
@@ -234,7 +234,7 @@ def shared_spans(docs: DataFrame, min_span: int = MIN_SPAN, batches: int = 3, id
     documents with the same whole text, the maximal shared stretches as structs (start, end), and how many characters these
     cover. Stretches that overlap are one; offsets count code points from 0, end excluded."""
     owners, windows = shared_windows(docs, min_span, batches, id_col, text_col, index_root)
-    spans = windows.groupBy(*_OWNER).agg(F.collect_set("start").alias("starts")).mapInArrow(_stretches(min_span), "o1 long, o2 long, spans array<struct<start:int,end:int>>")
+    spans = windows.mapInArrow(_stretches(min_span), "o1 long, o2 long, spans array<struct<start:int,end:int>>")
     owners = owners.distinct()
     key = F.concat(F.hex("o1"), F.lit("-"), F.hex("o2")).alias("owner")
     copies = owners.groupBy(*_OWNER).agg(F.countDistinct("doc_id").alias("copies"), F.count(F.lit(1)).alias("n"))
