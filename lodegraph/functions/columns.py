@@ -65,6 +65,10 @@ def normalized_score(cos: Column | str) -> Column:
     return (1 + _c(cos)) / 2
 
 
+def highly_relevant(score: Column | str, threshold: float = 0.7) -> Column:
+    return _c(score) >= threshold
+
+
 def relevance(cos: Column | str) -> Column:
     """A cosine as relevance: between 0 and 1, 0.5 where there is no vector."""
     return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), _c(cos))), F.lit(0.5))
@@ -239,6 +243,13 @@ def recipe_full(kind: Column | str, name: Column | str, signature: Column | str,
     return F.concat_ws("\n", F.concat(_c(kind), F.lit(": "), F.coalesce(_c(name), F.lit(""))), part("Signature", signature), part("Documentation", docstring), part("Content", content))
 
 
+def vector_document(kind: Column | str, name: Column | str, signature: Column | str, docstring: Column | str, content: Column | str) -> Column:
+    """The text a vector stands for in the store of vectors; its parts are joined by a backslash and an n, as they always were."""
+    full = lambda x: F.when(_c(x) != "", _c(x))
+    body = F.when(F.char_length(_c(content)) > 1000, F.concat(F.substring(_c(content), 1, 1000), F.lit("..."))).otherwise(full(content))
+    return F.concat_ws("\\n", F.concat(_c(kind), F.lit(": "), _c(name)), full(signature), full(docstring), F.concat(F.lit("Content: "), body))
+
+
 def text_semantics(content: Column | str) -> Column:
     """Struct of import lines and flags, found without parsing."""
     lines = F.transform(F.split(_c(content), "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r\f\v")))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -129,3 +130,21 @@ def relationship_rows(extracted: DataFrame) -> DataFrame:
 def parse_stats(extracted: DataFrame) -> DataFrame:
     """One row per repository: files, those that parsed, entities and relationships."""
     return extracted.groupBy("repository_id").agg(F.count(F.lit(1)).alias("files"), F.count_if("success").alias("parsed"), F.sum(F.size("entities")).alias("entities"), F.sum(F.size("relationships")).alias("relationships"))
+
+
+_FLOW = ["control_flow", "data_flow", "call_patterns", "error_handling", "basic"]
+_FLOW_TEXT = ["control_text", "error_text"]
+
+
+def flow_rows(units: DataFrame) -> DataFrame:
+    """(id, control_flow, data_flow, call_patterns, error_handling, basic, control_text, error_text) of (id, name, content): the
+    first five as JSON. Contents that are null or do not parse have no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, flow.analysis(text, name or "")) for i, name, text in zip(*(batch.column(c).to_pylist() for c in range(3)))]
+            found = [(i, a) for i, a in found if a]
+            columns = [[i for i, _ in found], *[[json.dumps(a[c], ensure_ascii=False) for _, a in found] for c in _FLOW], *[[a[c] for _, a in found] for c in _FLOW_TEXT]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["id", *_FLOW, *_FLOW_TEXT])
+
+    return spread(units.select("id", "name", "content")).mapInArrow(run, ", ".join(f"{c} string" for c in ["id", *_FLOW, *_FLOW_TEXT]))

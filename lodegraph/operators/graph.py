@@ -226,6 +226,41 @@ def impact(edges: DataFrame) -> DataFrame:
     return lookup_join(placed, total.withColumnRenamed("id", "part"), "part", "inner").select("id", "direct", "transitive", (F.col("direct") + 0.5 * F.col("transitive")).alias("score"))
 
 
+def impact_top(impacts: DataFrame, n: int = 20) -> DataFrame:
+    """The n functions of most impact with their rank; ties by id."""
+    return impacts.orderBy(F.desc("score"), "id").limit(n).select("id", "score", F.row_number().over(W.orderBy(F.desc("score"), "id")).alias("rank"))
+
+
+def critical(impacts: DataFrame) -> DataFrame:
+    return impacts.where("direct > 3 or transitive > 10")
+
+
+def with_content_calls(nodes: DataFrame, calls: DataFrame, found: DataFrame) -> DataFrame:
+    """Call nodes whose callees and callers also count the calls (source_id, target_id) found in contents."""
+    every = adjacency(calls.select("src", "dst").unionByName(found.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))), True)
+    out = every.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("_out"))
+    into = every.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("_in"))
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).alias(name)
+    return nodes.drop("callees", "callers").join(out, "id", "left").join(into, "id", "left").select("*", zero("_out", "callees"), zero("_in", "callers")).drop("_out", "_in")
+
+
+def update_strengths(rels: DataFrame, changes: DataFrame) -> DataFrame:
+    """Relationships with new strengths (id, new_strength, reason) and an audit struct of the old and new strength and the
+    reason; a new strength outside of 0 to 1 changes nothing."""
+    both = rels.join(changes.where("new_strength between 0 and 1"), "id", "left")
+    audit = F.when(F.col("new_strength").isNotNull(), F.struct(F.col("strength").alias("old_strength"), "new_strength", "reason"))
+    return both.withColumn("audit", audit).withColumn("strength", F.coalesce("new_strength", "strength")).drop("new_strength", "reason")
+
+
+def detach_delete(ents: DataFrame, rels: DataFrame, repository: str) -> tuple[DataFrame, DataFrame]:
+    """(entities, relationships) without a repository, its entities, and all relationships of these."""
+    gone = ents.where(F.col("repository_id") == repository).select("id")
+    left = rels.where(~F.col("repository_id").eqNullSafe(F.lit(repository)))
+    for end in ("src", "dst"):
+        left = lookup_join(left, gone.withColumnRenamed("id", end), end, "left_anti")
+    return ents.where(~F.col("repository_id").eqNullSafe(F.lit(repository))), left
+
+
 def simple_paths(edges: DataFrame, starts: DataFrame, max_nodes: int = 10) -> DataFrame:
     """(start, path): all paths without a repeat from the starts to nodes nothing leaves, or to max_nodes nodes."""
     adj = cut(adjacency(edges, True).where("src <> dst"))

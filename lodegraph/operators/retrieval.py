@@ -137,6 +137,21 @@ def context_snippets(context: DataFrame, ents: DataFrame, rels: DataFrame) -> Da
     return context.join(names, "id").join(ranked_, "id", "left").select("id", F.concat_ws(" | ", part("Signature", F.col("signature")), F.when(F.col("hop") > 0, part("Found via", F.col("type"))), part("Related", F.col("related"))).alias("snippet"))
 
 
+#: What a hop and a relationship type stand for as a reason; all others are graph_traversal. Fixed values.
+REASONS = {(0, None): "semantic_similarity", (1, "CALLS"): "direct_dependency", (1, "CONTAINS"): "structural_relationship", (2, "CALLS"): "indirect_dependency", (2, "CONTAINS"): "structural_relationship", (3, "CALLS"): "indirect_dependency"}
+
+
+def context_results(context: DataFrame, ents: DataFrame, n: int = 20) -> DataFrame:
+    """The n best of a multi-hop context (id, hop, score, type) that are entities, as results: rank and reason with what is
+    known of each."""
+    reason = F.lit("graph_traversal")
+    for (hop, kind), name in REASONS.items():
+        same = F.col("hop") == hop
+        reason = F.when(same if kind is None else same & (F.col("type") == kind), name).otherwise(reason)
+    best = top_k(context, n).withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id"))).withColumn("reason", reason)
+    return F.broadcast(best).join(ents, "id")
+
+
 def context_graph_summary(context: DataFrame, ents: DataFrame) -> DataFrame:
     """One row: nodes by type, hop and relationship type, nodes with a score over 0.7, and files covered."""
     rows = context.join(ents.select("id", "entity_type", "file_path"), "id")

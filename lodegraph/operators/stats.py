@@ -51,3 +51,14 @@ def build_metrics(indexes: DataFrame) -> DataFrame:
 def merged_counts(a: str, b: str):
     """Two maps of counters as one."""
     return F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+
+
+def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n): keys that should be unique and are not."""
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def consistency(expected: DataFrame, stored: DataFrame) -> DataFrame:
+    """(id, expected, stored, consistent): numbers that were made against numbers that are there; none is 0."""
+    both = expected.join(stored, "id", "left").withColumn("stored", F.coalesce("stored", F.lit(0)))
+    return both.select("id", "expected", "stored", F.col("expected").eqNullSafe(F.col("stored")).alias("consistent"))

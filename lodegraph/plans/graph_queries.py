@@ -183,9 +183,11 @@ def entities_by_type(s, d):
     return retrieval.matching(ents(s, d), types=["FUNCTION", "CLASS"]).select("id", "entity_type", "name")
 
 
-@query(WITH + "select id, name from ent where lower(name) = 'itineraryshuffle'")
+@query(WITH + "select id, name from ent where lower(name) = (select min(lower(name)) from ent where entity_type = 'FUNCTION')")
 def name_search_exact(s, d):
-    return ents(s, d).where(F.lower("name") == "itineraryshuffle").select("id", "name")
+    e = ents(s, d)
+    least = e.where("entity_type = 'FUNCTION'").agg(F.min(F.lower("name")).alias("least"))
+    return e.join(F.broadcast(least), F.lower("name") == F.col("least")).select("id", "name")
 
 
 @query(WITH + "select id, name from ent where contains(lower(name), 'merge') and entity_type in ('FUNCTION', 'METHOD')")
@@ -282,20 +284,16 @@ def most_called(s, d):
 
 
 @query(
-    WITH
+    WITH.replace("with ", "with recursive ", 1)
     + CALLS
-    + """, g as (select distinct src, dst from c), l0 as (select distinct src as node from g where src not in (select dst from g)),
-    l1 as (select distinct dst as node from g where src in (select node from l0) and dst not in (select node from l0)),
-    l2 as (select distinct dst as node from g where src in (select node from l1) and dst not in (select node from l0 union select node from l1)),
-    l3 as (select distinct dst as node from g where src in (select node from l2) and dst not in (select node from l0 union select node from l1 union select node from l2))
-    select node, 0 as depth from l0 union all select node, 1 from l1 union all select node, 2 from l2 union all select node, 3 from l3"""
+    + """, g as (select distinct src, dst from c),
+    w(node, depth) using key (node) as (select distinct src, 0 from g where src not in (select dst from g)
+        union select distinct g.dst, w.depth + 1 from w join g on g.src = w.node where g.dst not in (select node from recurring.w))
+    select f.id as node, coalesce(w.depth, 0) as depth, w.node is not null as reached from f left join w on w.node = f.id"""
 )
-def call_depth(s, d):
-    """Depths 0 to 3 of reached functions only, as the SQL has them; call_depth_full has all depths and all functions."""
-    c = calls(s, d)
-    start = c.select(F.col("src").alias("id")).distinct().join(c.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
-    reach = graph.distances(c.select("src", "dst").unionByName(start.select(F.lit("*").alias("src"), F.col("id").alias("dst"))), s.createDataFrame([("*",)], "id string"), 4)
-    return reach.where("depth > 0").select("node", (F.col("depth") - 1).alias("depth"))
+def call_depth_full(s, d):
+    """All depths below entry points; functions that no entry point reaches have depth 0 and are not marked as reached."""
+    return graph.call_depths(ents(s, d), rels(s, d))
 
 
 @query(
@@ -304,11 +302,11 @@ def call_depth(s, d):
     + """, g as (select distinct src, dst from c),
     w(node, depth) using key (node) as (select distinct src, 0 from g where src not in (select dst from g)
         union select distinct g.dst, w.depth + 1 from w join g on g.src = w.node where g.dst not in (select node from recurring.w))
-    select f.id as node, coalesce(w.depth, 0) as depth, w.node is not null as reached from f left join w on w.node = f.id"""
+    select node, depth from w"""
 )
-def call_depth_full(s, d):
-    """All depths below entry points; functions that no entry point reaches have depth 0 and are not marked as reached."""
-    return graph.call_depths(ents(s, d), rels(s, d))
+def call_depth(s, d):
+    """Depths, however great, of the functions that entry points reach."""
+    return graph.call_depths(ents(s, d), rels(s, d)).where("reached").select("node", "depth")
 
 
 INHERIT = ", g as (select distinct src, dst from rel where type in ('INHERITS', 'EXTENDS', 'IMPLEMENTS') and src is not null and dst is not null and src <> dst) "
@@ -324,12 +322,6 @@ def impact_scores(s, d):
     return graph.impact(inherits(s, d))
 
 
-@query()
-def call_impact(s, d):
-    """Impact of called functions over the whole call graph. No SQL: a closure by pairs has 17.8 million rows on sf0.1."""
-    return graph.impact(calls(s, d))
-
-
 @query("with recursive " + ENT + ", " + REL + INHERIT + ", w as (select src as start, [src] as path, src as last from g where src not in (select dst from g) union all select w.start, list_append(w.path, g.dst), g.dst from w join g on g.src = w.last where len(w.path) < 10 and not list_contains(w.path, g.dst)) select distinct start, array_to_string(path, '>') as path, len(path) + 0.5::double * len(path) as complexity from w where len(path) > 1 and (last not in (select src from g) or len(path) = 10)")
 def inheritance_paths(s, d):
     g = inherits(s, d).where("src is not null and dst is not null and src <> dst")
@@ -339,13 +331,6 @@ def inheritance_paths(s, d):
     return weighted.select("start", F.array_join("path", ">").alias("path"), "complexity")
 
 
-@query()
-def import_cycles(s, d):
-    """Cycles of the dependencies between entities, by strongly connected components."""
-    e = rels(s, d).where(F.col("type").isin("IMPORTS", "DEPENDS_ON", "CALLS") & F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst").distinct()
-    return hierarchy.find_cycles(e).groupBy("cycle").agg(F.count(F.lit(1)).alias("members"))
-
-
 TRANSITIONS = "with t as (select event_type as src, lead(event_type) over (partition by user_id order by ts, event_id) as dst from events), e as (select src, dst, count(*) as frequency from t where dst is not null group by all) "
 
 
@@ -394,11 +379,6 @@ def triangles(s, d):
     return graph.triangles(rels(s, d).where("type <> 'CONTAINS'")).withColumn("clustering", F.round("clustering", 6))
 
 
-@query()
-def pagerank(s, d):
-    return graph.pagerank(rels(s, d), ents(s, d)).select("id", F.round("rank", 9).alias("rank"))
-
-
 @query("with recursive " + ENT + ", " + REL + INHERIT + ", b as (select src as a, dst as b from g union select dst, src from g), w as (select a as node, a as reach from b union select w.node, b.b from w join b on b.a = w.reach) select node, min(reach) as component from w group by node")
 def components(s, d):
     """Components along inheritance, as the SQL has them; graph_components takes all relationships."""
@@ -572,15 +552,9 @@ def intent(s, d):
     return table(s, d, "documents").select("doc_id", C.intent_category("text").alias("category"))
 
 
-@query("select doc_id, case when text is null then null else array_to_string(list_concat(" + ", ".join(f"case when {_has(words)} then [{', '.join(repr(t) for t in types)}] else [] end" for _, words, types in K.INTENT_RULES[:2] if types) + "), ',') end as types from documents")
+@query("select doc_id, case when text is null then null else array_to_string(list_concat(" + ", ".join(f"case when {_has(words)} then [{', '.join(repr(t) for t in types)}] else [] end" for _, words, types in K.INTENT_RULES if types) + "), ',') end as types from documents")
 def suggested_types(s, d):
-    both = F.filter(C.suggested_types("text"), lambda x: x.isin("FUNCTION", "CLASS"))
-    return table(s, d, "documents").select("doc_id", F.when(F.col("text").isNotNull(), F.array_join(both, ",")).alias("types"))
-
-
-@query()
-def keywords(s, d):
-    return table(s, d, "documents").select("doc_id", F.array_join(C.keywords("text"), " ").alias("keywords"))
+    return table(s, d, "documents").select("doc_id", F.when(F.col("text").isNotNull(), F.array_join(C.suggested_types("text"), ",")).alias("types"))
 
 
 def _task_score(patterns: list[str]) -> str:
@@ -592,11 +566,6 @@ def task_type(s, d):
     return spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", C.task_type("text").alias("task"))
 
 
-@query()
-def recommended_actions(s, d):
-    return spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", F.array_join(C.recommended_actions(C.task_type("text")), "; ").alias("actions"))
-
-
 @query("select doc_id, a as start, substring(text, a::int + 1, 2048) as chunk from (select doc_id, text, unnest(range(0, greatest(1, length(text) - 256), 1792)) as a from documents where text is not null)")
 def fixed_chunks(s, d):
     t = table(s, d, "documents").where("text is not null").select("doc_id", "text", F.explode(C.chunk_starts(F.char_length("text"))).alias("a"))
@@ -711,20 +680,6 @@ def relationship_problems(s, d):
     return rels(s, d).select(F.explode(C.relationship_problems()).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def import_resolution(s, d):
-    e = ents(s, d, "content")
-    found = e.where("entity_type = 'MODULE' and content is not null").select(F.col("id").alias("file_id"), F.explode(F.split("content", r"[\r\n]+")).alias("statement"))
-    return graph.resolve_imports(found, e)
-
-
-@query()
-def call_name_match(s, d):
-    e = ents(s, d, "content").where(F.col("entity_type").isin("FUNCTION", "METHOD"))
-    names = e.where("content is not null").select(F.col("id").alias("source_id"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"([A-Za-z_]\w*)\("), 1))).alias("called"))
-    return graph.resolve_calls(names, e.select("id", "name", "qualified_name")).where("source_id <> target_id")
-
-
 # logs and streams
 
 

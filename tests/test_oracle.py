@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from lodegraph.plans import core_queries, graph_queries
+from lodegraph.plans import contract_queries, core_queries, graph_queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 QUERIES = core_queries.queries() | graph_queries.queries()
