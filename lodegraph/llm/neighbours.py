@@ -343,5 +343,7 @@ def mutual_pairs(found: DataFrame, least: float) -> DataFrame:
 
 
 def divisible_by(col: Column | str, n: int) -> Column:
-    """Whether a UUID text, read as a number (its last eight hexadecimal digits), is divisible by n."""
-    return F.pmod(F.conv(F.substring(F.regexp_replace(F.col(col) if isinstance(col, str) else col, "-", ""), -8, 8), 16, 10).cast("long"), F.lit(n)) == 0
+    """Whether a UUID text, read as the number that its hexadecimal digits make, is divisible by n."""
+    digits = F.lpad(F.regexp_replace(F.col(col) if isinstance(col, str) else col, "-", ""), 32, "0")
+    part = lambda k: F.conv(F.substring(digits, 25 - 8 * k, 8), 16, 10).cast("long") * pow(2, 32 * k, n)
+    return F.pmod(part(0) + part(1) + part(2) + part(3), F.lit(n)) == 0

@@ -93,4 +93,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     nid = f"nullif(lower(trim(id, {BLANKS_SQL})), '')"
-    return {"p1_found": f"select distinct {nid} as entity_id from code_entities where length(content) > 2048 and {nid} is not null"}
+    return {
+        "p1_found": f"select distinct {nid} as entity_id from code_entities where length(content) > 2048 and {nid} is not null",
+        # by brute force: every pair of usable vectors
+        "p4_found": f"""
+            with u as (select {nid} as id, embedding_vector::double[] as v, updated_at from code_entities where len(embedding_vector) = {neighbours.DIM} and {nid} is not null
+                         and len(list_filter(embedding_vector, lambda x: x is not null and isfinite(x))) = {neighbours.DIM} and len(list_filter(embedding_vector, lambda x: x <> 0)) > 0),
+                 e as (select id, v::double[{neighbours.DIM}] as v from u qualify row_number() over (partition by id order by updated_at desc nulls last, v desc) = 1),
+                 c as (select a.id as q, b.id as x, array_cosine_similarity(a.v, b.v) as cosine from e a join e b on a.id <> b.id),
+                 n as (select q, x from c where cosine >= 0.90 qualify row_number() over (partition by q order by cosine desc, x) <= 10)
+            select n.q as entity_id_a, n.x as entity_id_b from n join n m on m.q = n.x and m.x = n.q where n.q < n.x""",
+    }

@@ -1,9 +1,12 @@
 """Nearest vectors against brute force."""
 
+import os
+
 import numpy as np
 import pytest
 
 from lodegraph.llm import neighbours as nb
+from lodegraph.llm import queries
 
 ROWS = "id string, embedding_vector array<float>, updated_at timestamp, leaf int, reach double"
 
@@ -70,3 +73,32 @@ def test_tree_prunes_and_stays_exact():
     s = x @ x.T
     np.fill_diagonal(s, -9)
     assert np.allclose(cos, np.sort(s, 1)[:, ::-1][:, :4], atol=1e-5) and (rows >= 0).all()
+
+
+TABLES = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test data")
+def test_on_the_tables(spark):
+    """p4_knn's recall against brute force over all rows, and p4_found against SQL that tries every pair."""
+    import duckdb
+
+    v = nb.usable_vectors(spark.read.parquet(f"{TABLES}/code_entities.parquet")).collect()
+    ids, x = np.array([r.id for r in v]), np.stack([np.frombuffer(r.vec, "<f4") for r in v]).astype(float)
+    asked = [i for i, name in enumerate(ids) if int(name.replace("-", ""), 16) % 20 == 0]
+    got: dict[str, list[float]] = {}
+    for r in queries.p4_knn(spark, TABLES).collect():
+        got.setdefault(r.entity_id, []).append(r.cosine)
+    assert set(got) == set(ids[asked])
+    hit = want = 0
+    for i in asked:
+        s = x @ x[i]
+        s[i] = -9
+        least = np.sort(s)[-10]
+        want += 10
+        hit += sum(c >= least - 1e-5 for c in got[ids[i]])
+    assert hit / want >= 0.9
+    duck = duckdb.connect()
+    duck.execute(f"create view code_entities as select * from '{TABLES}/code_entities.parquet'")
+    pairs = set(duck.execute(queries.oracle_sql()["p4_found"]).fetchall())
+    assert pairs and {tuple(r) for r in queries.p4_found(spark, TABLES).collect()} == pairs
