@@ -8,6 +8,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,6 +24,10 @@ _OUT = pa.schema([("repository_id", pa.string()), ("file_path", pa.string()), ("
 _DDL = "repository_id string, file_path string, language string, success boolean, error_message string, entities array<struct<id:string,entity_type:string,name:string,qualified_name:string,start_line:int,end_line:int,start_column:int,end_column:int,signature:string,docstring:string,content:string,parent_entity_id:string,dependencies:array<string>,side_effects:array<string>,cyclomatic_complexity:int,nesting_depth:int>>, relationships array<struct<source_entity_id:string,target_entity_id:string,relationship_type:string,line_number:int>>"
 
 
+#: Lines with their ends, as the parser counts them.
+_ROWS = re.compile(r"[^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+$")
+
+
 def _id(*parts: object) -> str:
     h = hashlib.sha256("\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass")).hexdigest()
     return f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:32]}"
@@ -35,7 +40,21 @@ class _Walker:
         self.stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
         self.entities: list[dict] = []
         self.edges: list[dict] = []
-        self.functions: list[dict] = []
+        #: Functions in order by each name they can be called by: their own, and the ends of the qualified one.
+        self.functions: dict[str, list[dict]] = {}
+        self.rows = _ROWS.findall(text)
+
+    def source(self, node: ast.AST) -> str:
+        """The text of a node; columns count bytes."""
+        a, b = node.lineno - 1, node.end_lineno - 1
+        if a == b:
+            return self.rows[a].encode()[node.col_offset : node.end_col_offset].decode()
+        return self.rows[a].encode()[node.col_offset :].decode() + "".join(self.rows[a + 1 : b]) + self.rows[b].encode()[: node.end_col_offset].decode()
+
+    def callable(self, e: dict) -> None:
+        parts = e["qualified_name"].split(".")
+        for name in {".".join(parts[i:]) for i in range(1, len(parts))} | {e["name"]}:
+            self.functions.setdefault(name, []).append(e)
 
     def add(self, kind: str, name: str, qualified: str, node: ast.AST | None, parent: str | None, **more: object) -> dict:
         place = (1, len(self.text.split("\n")), 0, 0) if node is None else (node.lineno, node.end_lineno, node.col_offset, node.end_col_offset)
@@ -50,35 +69,35 @@ class _Walker:
         """Depth first, in source order."""
         up = parent["id"] if parent else None
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            source = ast.get_source_segment(self.text, node) or ""
+            source = self.source(node)
             tree = flow.tree_of(source)
             c = flow.control_flow(tree) if tree is not None else None
             signature = self.lines[node.lineno - 1].strip() if node.lineno <= len(self.lines) else ""
             e = self.add("METHOD" if in_class and self.methods else "FUNCTION", node.name, f"{self.stem}.{node.name}", node, up, signature=signature, docstring=ast.get_docstring(node), content=source, dependencies=flow.dependencies(tree) if tree is not None else [], side_effects=flow.side_effects(tree) if tree is not None else [], cyclomatic_complexity=c and c["cyclomatic_complexity"], nesting_depth=c and c["nesting_depth"])
-            self.functions.append(e)
+            self.callable(e)
             if parent:
                 self.edge(up, e["id"], "CONTAINS", node.lineno)
             for child in node.body:
                 self.walk(child, e, False)
             return
         if isinstance(node, ast.ClassDef):
-            e = self.add("CLASS", node.name, f"{self.stem}.{node.name}", node, up, docstring=ast.get_docstring(node), content=ast.get_source_segment(self.text, node))
+            e = self.add("CLASS", node.name, f"{self.stem}.{node.name}", node, up, docstring=ast.get_docstring(node), content=self.source(node))
             for child in ast.iter_child_nodes(node):
                 self.walk(child, e, True)
             return
         if isinstance(node, (ast.Import, ast.ImportFrom)):
-            text = ast.get_source_segment(self.text, node) or ""
+            text = self.source(node)
             e = self.add("MODULE", text, f"{self.path}::{text}", node, up, content=text)
             self.edge(self.entities[0]["id"], e["id"], "IMPORTS", node.lineno)
         elif isinstance(node, ast.Call) and parent:
-            called = ast.get_source_segment(self.text, node.func) or ""
-            hit = next((f for f in self.functions if f["id"] != up and (f["name"] == called or f["qualified_name"].endswith(f".{called}"))), None)
+            called = self.source(node.func)
+            hit = next((f for f in self.functions.get(called, ()) if f["id"] != up), None)
             if called and hit:
                 self.edge(up, hit["id"], "CALLS", node.lineno)
         elif isinstance(node, (ast.Assign, ast.AnnAssign, ast.AugAssign)) and parent and not isinstance(node, ast.AugAssign):
             targets = node.targets if isinstance(node, ast.Assign) else [node.target]
             for t in targets:
-                name = ast.get_source_segment(self.text, t) or ""
+                name = self.source(t)
                 if name and not name.startswith("_"):
                     e = self.add("VARIABLE", name, f"{self.path}::{name}", node, up)
                     self.edge(up, e["id"], "CONTAINS")
