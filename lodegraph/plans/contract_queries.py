@@ -8,9 +8,10 @@ from ..functions import columns as C
 from ..functions import constants as K
 from ..operators import extract, flow, graph, hierarchy, retrieval, stats
 from ..sources import files as source_files
-from ..sources.filters import glob_regex
+from ..sources.filters import filter_stats, glob_regex, source_only
+from ..streaming import events as ev
 from ..tables import table
-from .graph_queries import CALLS, HUB, REPOS, SIM, WITH, _python_files, _task_score, _weights, calls, ents, hub, query, rels, repos, scored
+from .graph_queries import CALLS, EXT, HUB, REPOS, SIM, WITH, _rules_sql, _task_score, _weights, calls, ents, hub, query, rels, repos, scored
 
 RECURSIVE = WITH.replace("with ", "with recursive ", 1)
 NOW = "2026-01-01 00:00:00"
@@ -279,6 +280,26 @@ def import_resolution(s, d):
     return graph.resolve_imports(found, e)
 
 
+# logs and files
+
+
+@query("with s as (select user_id, ts, event_id, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 30 minute then 0 else 1 end as fresh from events), g as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as k from s) select user_id, min(ts) as session_start, max(ts) + interval 30 minute as session_end, count(*) as n from g group by user_id, k")
+def user_sessions(s, d):
+    return ev.session_counts(table(s, d, "events"))
+
+
+@query("select event_id, any_value(event_type) as event_type from (select * from events union all select * from events where event_id % 3 = 0) group by event_id")
+def events_once(s, d):
+    """Each event once, of a log in which a third is delivered twice."""
+    t = table(s, d, "events")
+    return ev.once(t.unionByName(t.where("event_id % 3 = 0"))).select("event_id", "event_type")
+
+
+@query(WITH + f", r as (select case when {_rules_sql()} then 'pattern' when {EXT} <> '' and {EXT} not in ({', '.join(repr(x) for x in K.SOURCE_EXTENSIONS)}) then 'not_source_extension' else 'include' end as reason from ent where entity_type = 'FILE') select reason, count(*) as files from r group by reason")
+def path_filter_counts(s, d):
+    return filter_stats(ents(s, d).where("entity_type = 'FILE'"), source_only())
+
+
 # source of functions: by the syntax tree, which SQL does not have
 
 

@@ -60,26 +60,18 @@ def ignore_rules(spark: SparkSession, root: str) -> list[str]:
     """The lines of the ignore file at the root of a tree; none if there is none. It is one small file by its nature."""
     if folder_state(spark, f"{root}/.gitignore") != "file":
         return []
-    return [r.value for r in spark.read.text(f"{root}/.gitignore").collect()]
+    # Spark's readers pass over hidden files
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/.gitignore")
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+    finally:
+        stream.close()
 
 
 # tables of the graph, by repository
 
 
-def append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("repository_id").parquet(path)
-
-
-def replace_repositories(df: DataFrame, path: str, repositories: list[str] | None = None) -> None:
-    """Writes the rows of the repositories in df in place of what the table has of them; other repositories stay. Of the named
-    repositories those without rows in df have none in the table after it."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_id").parquet(path)
-    if repositories:
-        there = {r[0] for r in df.where(F.col("repository_id").isin(repositories)).select("repository_id").distinct().collect()}
-        for name in set(repositories) - there:
-            delete_repository(df.sparkSession, path, name)
-
-
 def _partition(spark: SparkSession, path: str, repository_id: str):
     """(path, file system) of a repository's partition."""
     name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(repository_id)
@@ -139,11 +131,5 @@ def clear(spark: SparkSession, path: str) -> int:
     return sum(fs.delete(p, True) for p in parts)
 
 
-def upsert_files(spark: SparkSession, path: str, fresh: DataFrame, changed: DataFrame) -> DataFrame:
-    """A table's rows with those of changed (repository_id, file_path) files replaced by the fresh ones."""
-    old = spark.read.parquet(path)
-    return old.join(changed.select("repository_id", "file_path").distinct(), ["repository_id", "file_path"], "left_anti").unionByName(fresh, allowMissingColumns=True)
-
-
 def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("json"))
