@@ -71,6 +71,10 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"), ["doc_id"])
 
 
+def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.round_trips(table(spark, d, "documents"), ["doc_id"])
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "source_weights"))
 
@@ -88,13 +92,14 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_pairs, p4_found, p4_knn, p5_found, p5_rates, p5_stages, p6_found, p6_kinds, p8_ids, p9_mix, p9_shares, p10_found, p10_shared)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_pairs, p4_found, p4_knn, p5_found, p5_rates, p5_stages, p6_found, p6_kinds, p8_ids, p8_roundtrip, p9_mix, p9_shares, p10_found, p10_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
     nid = f"nullif(lower(trim(id, {BLANKS_SQL})), '')"
     return {
         "p1_found": f"select distinct {nid} as entity_id from code_entities where length(content) > 2048 and {nid} is not null",
+        "p8_roundtrip": "select doc_id, true as same from documents",
         # by brute force: every pair of usable vectors
         "p4_found": f"""
             with u as (select {nid} as id, embedding_vector::double[] as v, updated_at from code_entities where len(embedding_vector) = {neighbours.DIM} and {nid} is not null

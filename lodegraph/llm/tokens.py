@@ -46,6 +46,7 @@ class Vocabulary:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
+        self.suffixes = {t[i:] for t in self.ranks for i in range(len(t))}
         self.fast = tiktoken.Encoding("lodegraph", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
 
@@ -78,14 +79,18 @@ class PieceStream:
         for byte in data:
             held.append(byte)
             p = len(held)
-            for n in range(min(v.longest, p), 0, -1):
-                token = bytes(held[p - n :])
-                if token in v.ranks and (back[p - n] or p == n):
-                    q = p - n
-                    before = bytes(held[q - back[q] : q]) if q else self.first
-                    if v.follows(before, token):
-                        back.append(n)
-                        break
+            most, sizes, n = min(v.longest, p), [], 1
+            tail = bytes(held[p - most :])
+            while n <= most and (end := tail[most - n :]) in v.suffixes:  # no longer token ends here once this is no token's end
+                if end in v.ranks and (back[p - n] or p == n):
+                    sizes.append(n)
+                n += 1
+            for n in reversed(sizes):
+                q = p - n
+                before = bytes(held[q - back[q] : q]) if q else self.first
+                if v.follows(before, tail[most - n :]):
+                    back.append(n)
+                    break
             else:
                 back.append(0)  # no prefix of the text ends its tokens here
         return self._emit() if len(held) >= 4 * v.longest else []
@@ -230,3 +235,26 @@ def count_tokens(docs: DataFrame, keys: list[str], text: str = "text", tokenizer
     df = spread(docs.select(*keys, text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1])
     return df.mapInArrow(_encoder(tokenizer, False), f"{schema}, n_tokens int")
+
+
+def _round_trip(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path)
+        for batch in batches:
+            same = []
+            for t in batch.column(batch.num_columns - 1):
+                text, decoder = t.as_py() or "", StreamDecoder(vocab)
+                ids = encode(text, vocab).tolist()
+                back = [decoder.feed(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
+                same.append("".join(back) + decoder.finish() == text)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(same, pa.bool_())], names=[*batch.schema.names[:-1], "same"])
+
+    return run
+
+
+def round_trips(docs: DataFrame, keys: list[str], text: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
+    """(keys..., same): whether each text comes back from its ids through the decoder; a null text as the empty one."""
+    small_batches(docs.sparkSession)
+    df = spread(docs.select(*keys, text))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1])
+    return df.mapInArrow(_round_trip(tokenizer), f"{schema}, same boolean")

@@ -50,24 +50,15 @@ def test_maps_are_made_for_short_files_too(spark, monkeypatch):
     rows = [("a", "FILE", "r", "A.java", "class A {}"), ("b", "FILE", "r", "b.go", "package b"), ("c", "FILE", "r", "c.js", "x"), ("d", "FILE", "r", "d.go", "package d\n" + "// x\n" * 5000)]
     df = spark.createDataFrame(rows, "id string, entity_type string, repository_id string, file_path string, content string").selectExpr("*", "timestamp'2024-01-01' as updated_at")
 
-    def seen(size):
-        def run(batches):
-            import pyarrow as pa
-
-            for b in batches:
-                yield pa.RecordBatch.from_pydict({"entity_id": b.column(0), "chunk": pa.array([0] * len(b), pa.int32()), "map": pa.array(["{}"] * len(b))})
-
-        return run
-
     def marked(batches):
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"entity_id": b.column(0), "problem": pa.array(["mapped"] * len(b))})
+            yield pa.RecordBatch.from_pydict({"entity_id": b.column(0), "unbalanced": pa.array(["mapped"] * len(b))})
 
-    monkeypatch.setattr(parsing, "_to_maps", seen)
-    monkeypatch.setattr(parsing, "_compose", marked)
-    assert {r.file_path for r in parsing.check_files(df).where("problem = 'mapped'").collect()} == {"A.java", "b.go", "d.go"}
+    assert {r.stage for r in parsing.check_files(df).collect()} == {"statements", "whole"}
+    monkeypatch.setattr(parsing, "_judge", marked)
+    assert {r.file_path for r in parsing.check_files(df).where("problem = 'mapped' and stage = 'maps'").collect()} == {"A.java", "b.go", "d.go"}
 
 
 def test_usual_texts_are_encoded_as_a_stream(monkeypatch):
@@ -80,3 +71,29 @@ def test_usual_texts_are_encoded_as_a_stream(monkeypatch):
     assert tokens.encode(text, vocab).tolist() == vocab.fast.encode_ordinary(text)
     assert sum(map(len, early)) > 0
     assert tokens.encode("short", vocab).tolist() == vocab.fast.encode_ordinary("short")
+
+
+def test_long_texts_take_little_memory():
+    """Ten million characters, a part of them one endless pre-token, pass through in memory that does not grow with them."""
+    import random
+    import tracemalloc
+
+    from lodegraph.llm import tokens
+
+    vocab, rnd = tokens.vocabulary(tokens.DEFAULT_TOKENIZER), random.Random(4)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(1, 9))) for _ in range(500)]
+    parts = [" ".join(rnd.choices(words, k=2000)) for _ in range(20)]
+    endless = "".join(rnd.choice("abcdefghijkl") for _ in range(20_000))
+    tokens.encode(parts[0] + endless, vocab)
+    tracemalloc.start()
+    encoder, decoder, length, made = tokens.StreamEncoder(vocab), tokens.StreamDecoder(vocab), 0, 0
+    while length < 10_000_000:
+        part = endless if made == 50 else parts[made % 20]
+        made, length = made + 1, length + len(part)
+        back = decoder.feed(encoder.feed(part))
+        assert len(back) <= 2 * len(part) + 4096
+    decoder.feed(encoder.finish())
+    decoder.finish()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000
