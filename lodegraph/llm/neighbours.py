@@ -33,8 +33,9 @@ from ..tables import norm_id
 from .common import small_batches
 
 DIM = 384
-#: Rows of the routing sample, at most; it is collected to the driver.
-SAMPLE = 4096
+#: Rows of the routing sample, at least and at most (48 MB); it is collected to the driver. In between it grows with the rows,
+#: so that groups of about a block can be told apart. There is at most one leaf for LEAST_ROWS of its rows.
+SAMPLE, SAMPLE_MOST, LEAST_ROWS = 4096, 32_768, 8
 #: Rows of a block, at most.
 BLOCK = 8192
 #: Rows of a bucket of a shard's own tree.
@@ -98,14 +99,14 @@ def _gap(d: np.ndarray, least: int) -> tuple[float, float]:
     return float(s[i + 1] - s[i]), float((s[i] + s[i + 1]) / 2)
 
 
-def build_routing(sample: np.ndarray, least_gap: float = 0.12, least_rows: int = 8, tries: int = 24, seed: int = 7, max_leaves: int = 1024) -> Routing:
+def build_routing(sample: np.ndarray, least_gap: float = 0.12, least_rows: int = LEAST_ROWS, tries: int = 24, seed: int = 7, deepest: int = 400) -> Routing:
     """A tree whose splits lie in gaps of the sample's distances; a vantage point is moved to the middle of its near side."""
     rnd, out = np.random.default_rng(seed), Routing(0)
     out.leaves = 0
 
     def grow(rows: np.ndarray, splits: int) -> Node | int:
         x = sample[rows]
-        if len(rows) >= 2 * least_rows and splits < max_leaves:
+        if len(rows) >= 2 * least_rows and splits < deepest:
             for pick in rnd.permutation(len(rows))[:tries]:
                 point, best = x[pick], (0.0, 0.0)
                 for _ in range(3):
@@ -301,6 +302,7 @@ def nearest(vectors: DataFrame, k: int, queries: DataFrame | None = None, radius
     vectors, queries: as usable_vectors gives them; queries are ids to be searched, all rows by default. Without a radius a
     first search in each query's own shard finds how far the search has to reach in the others."""
     rows = max(1, vectors.count())
+    sample = min(max(sample, 2 * LEAST_ROWS * rows // block), max(sample, SAMPLE_MOST))
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, 1.25 * sample / rows + 0.01 * (rows < 100 * sample)) * (1 << 30))
     some = [r.vec for r in vectors.where(share).select("vec", F.xxhash64("id").alias("h")).orderBy("h").limit(sample).select("vec").collect()]
     routing = build_routing(np.frombuffer(b"".join(map(bytes, some)), "<f4").reshape(-1, dim) if some else np.empty((0, dim), np.float32))
@@ -314,7 +316,7 @@ def nearest(vectors: DataFrame, k: int, queries: DataFrame | None = None, radius
     def search(entering: DataFrame, held: bool) -> DataFrame:
         if held:
             entering = cut(entering)
-        blocks = F.broadcast(data.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("ni")))  # one row a leaf: at most 1024
+        blocks = F.broadcast(data.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("ni")))  # one row a leaf: at most 4096
         turns = F.broadcast(entering.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nj")))
         hashed = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
