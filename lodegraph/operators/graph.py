@@ -6,6 +6,7 @@ write each level to the shared folder."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,23 @@ def relationships(table: DataFrame, columns: list[str] | None = None) -> DataFra
     return _newest(rows.where("id is not null"), "_at", columns)
 
 
+def relationships_near(table: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A function from a frontier (id) to the relationships (id, src, dst, type) at it, as relationships() has them, without
+    merging the deliveries of the whole table: two scans, the first for the ids of relationships of which any delivery touches
+    the frontier, the second for all deliveries of these. A frontier or ids too many to broadcast are met by shuffling."""
+    columns = ["src", "dst", "type"]
+    raw = table.select(norm_id("id").alias("id"), F.col("ingested_at").alias("_at"), norm_id("source_entity_id").alias("src"), norm_id("target_entity_id").alias("dst"), norm_enum("relationship_type").alias("type")).where("id is not null")
+
+    def near(frontier: DataFrame) -> DataFrame:
+        if not few(frontier):
+            return _newest(raw, "_at", columns)
+        ends = [F.broadcast(frontier.select(F.col("id").alias(c), F.lit(True).alias(f"_{c}"))) for c in ("src", "dst")]
+        ids = cut(raw.join(ends[0], "src", "left").join(ends[1], "dst", "left").where("_src or _dst").select("id").distinct())
+        return _newest(raw.join(F.broadcast(ids) if few(ids) else ids, "id", "left_semi"), "_at", columns)
+
+    return near
+
+
 def resolvable(rels: DataFrame, ents: DataFrame) -> DataFrame:
     """Relationships both of whose ends are known entities."""
     ids = ents.select("id")
@@ -113,17 +131,18 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 5
     return None
 
 
-def hop_expansion(rels: DataFrame, relevance: DataFrame, seeds: DataFrame, hops: int = 2, threshold: float = K.HOP_THRESHOLD, max_nodes: int | None = None) -> DataFrame:
-    """(id, hop, score, via, type): multi-hop context of the seeds (id, score).
+def hop_expansion(rels: DataFrame | Callable[[DataFrame], DataFrame], relevance: DataFrame, seeds: DataFrame, hops: int = 2, threshold: float = K.HOP_THRESHOLD, max_nodes: int | None = None) -> DataFrame:
+    """(id, hop, score, via, type): multi-hop context of the seeds (id, score). rels: the relationships, or a function that
+    gives those at a frontier (see relationships_near).
 
     relevance: (id, relevance) of all entities. An edge's score is relevance * weight of its type * 0.8^hop; a node enters at
     the first hop at which an edge reaches the threshold, by its best edge (ties: smallest type, then smallest origin).
     max_nodes stops further hops once so many nodes are in. Each hop filters the edges by the frontier at either end, which is
     broadcast if its count allows it; edges are not doubled, written or made distinct as a whole."""
-    edges = rels.where("src is not null and dst is not null and src <> dst").select("src", "dst", "type")
 
     def beyond(frontier: DataFrame) -> DataFrame:
         ids = frontier.select("id")
+        edges = (rels(ids) if callable(rels) else rels).where("src is not null and dst is not null and src <> dst").select("src", "dst", "type")
         if few(ids):
             ends = [F.broadcast(ids.select(F.col("id").alias(c), F.lit(True).alias(f"_{c}"))) for c in ("src", "dst")]
             met = edges.join(ends[0], "src", "left").join(ends[1], "dst", "left").where("_src or _dst")

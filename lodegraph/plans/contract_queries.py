@@ -244,7 +244,7 @@ def connectedness(s, d):
 def context_results(s, d):
     """The best of a context as results: ranked, with the reason that hop and relationship stand for."""
     seeds = hub(s, d).select("id", F.lit(1.0).alias("score"))
-    context = graph.hop_expansion(rels(s, d, "src", "dst", "type"), ents(s, d).select("id", F.lit(0.9).alias("relevance")), seeds, hops=1)
+    context = graph.hop_expansion(graph.relationships_near(table(s, d, "relationships")), ents(s, d).select("id", F.lit(0.9).alias("relevance")), seeds, hops=1)
     return retrieval.context_results(context, ents(s, d), 20).select("id", "rank", F.round("score", 6).alias("score"), "reason")
 
 

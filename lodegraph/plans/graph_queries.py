@@ -238,7 +238,7 @@ def graph_relevance(s, d):
 )
 def two_hop_scored(s, d):
     seeds = hub(s, d).select("id", F.lit(1.0).alias("score"))
-    found = graph.hop_expansion(rels(s, d, "src", "dst", "type"), ents(s, d).select("id", F.lit(0.9).alias("relevance")), seeds, hops=2)
+    found = graph.hop_expansion(graph.relationships_near(table(s, d, "relationships")), ents(s, d).select("id", F.lit(0.9).alias("relevance")), seeds, hops=2)
     return found.select("id", "hop", F.round("score", 6).alias("score"))
 
 
@@ -474,7 +474,7 @@ def retrieve_context(s, d):
     # vectors are scored where they lie; what is shuffled, kept and expanded is (id, score), and only what is shown is looked up
     sc = graph.cut(retrieval.score_against(raw, vector, "embedding_vector").groupBy("id").agg(F.max_by("score", "updated_at").alias("score")))
     seeds = graph.cut(retrieval.top_k(sc.where("score >= 0.3 and not isnan(score)"), 40))
-    context = graph.hop_expansion(rels(s, d, "src", "dst", "type"), sc.select("id", C.relevance("score").alias("relevance")), seeds.select("id", "score"))
+    context = graph.hop_expansion(graph.relationships_near(table(s, d, "relationships")), sc.select("id", C.relevance("score").alias("relevance")), seeds.select("id", "score"))
     found = graph.cut(seeds.unionByName(context.where("hop > 0").select("id", "score")))
     code = table(s, d, "code_entities").withColumn("id", norm_id("id"))
     code = code.join(F.broadcast(found.select("id").distinct()), "id", "left_semi") if graph.few(found) else code.join(found.select("id").distinct(), "id", "left_semi")

@@ -3,7 +3,7 @@
 import random
 
 from lodegraph.operators import graph
-from lodegraph.plans import graph_queries
+from lodegraph.plans import contract_queries, graph_queries
 
 
 def functions_and_calls(spark, names, calls):
@@ -62,7 +62,7 @@ def test_call_impact_is_over_calls(spark, monkeypatch):
     ents, rels = functions_and_calls(spark, "abc", [("a", "b"), ("b", "c")])
     monkeypatch.setattr(graph_queries, "ents", lambda s, d: ents)
     monkeypatch.setattr(graph_queries, "rels", lambda s, d: rels)
-    assert {(r.id, r.direct, r.transitive) for r in graph_queries.call_impact(spark, "").collect()} == {("b", 1, 0), ("c", 1, 1)}
+    assert {(r.id, r.direct, r.transitive) for r in contract_queries.call_impact(spark, "").collect()} == {("b", 1, 0), ("c", 1, 1)}
 
 
 def test_graph_components_are_over_all_relationships(spark, monkeypatch):
