@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from ..functions import constants as K
 from ..session import cut
 from ..tables import norm_enum, norm_id
 from . import hierarchy
-from .skew import few, lookup_join
+from .skew import few, hot_list, lookup_join
 
 ENTITY_COLUMNS = ["repository_id", "entity_type", "name", "qualified_name", "file_path", "start_line", "end_line", "start_column", "end_column", "language", "signature", "docstring", "complexity_score"]
 
@@ -206,20 +208,75 @@ def hotspots(nodes: DataFrame) -> DataFrame:
     return nodes.where("call_count > 5 or callers > 5")
 
 
-def impact(edges: DataFrame) -> DataFrame:
-    """(id, direct, transitive, score): of each called node its callers, all that call it through others (less one, as the
-    number has always been reported), and direct + transitive/2. Chains of calls may have any length.
-
-    Nodes on common cycles have the same callers, so pairs are made between strongly connected components only, and the
-    callers of a component are added up by size. What lies below the largest component has all that lies above it as
-    callers: that share is counted once, without pairs."""
-    adj = cut(adjacency(edges, True).where("src <> dst"))
-    rings = cut(hierarchy.find_cycles(adj).select("node", "cycle"))
+_COUNTS = "node long, callers long"
+
+#: Bits that are held at once to count callers in one task (128 MB).
+BITS_AT_ONCE = 1 << 30
+
+
+def _count_callers(rows: pa.Table) -> pa.Table:
+    """(node, callers) of a graph (src, dst, size): the sizes of all nodes that lead to each node, its own among them where it
+    lies on a cycle. A row from a node to itself tells the size of what the node stands for; over one it is a cycle. Without
+    such a row the size is 1.
+
+    Strongly connected components are walked in the order of calls, and sets of callers are numbers of one bit a component;
+    where components are many, callers are taken in blocks, so that no more than BITS_AT_ONCE bits are held."""
+    ends = [rows[c].to_numpy() for c in ("src", "dst")]
+    ids, at = np.unique(np.concatenate(ends), return_inverse=True)
+    src, dst = at[: len(ends[0])], at[len(ends[0]) :]
+    told = src == dst
+    weight = np.ones(len(ids), np.int64)
+    weight[src[told]] = rows["size"].to_numpy(zero_copy_only=False)[told].astype(np.int64)
+
+    def lists(keys: np.ndarray, values: np.ndarray, n: int) -> list[list[int]]:
+        order = np.argsort(keys, kind="stable")
+        flat, cuts = values[order].tolist(), np.searchsorted(keys[order], np.arange(n + 1)).tolist()
+        return [flat[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    comp = np.array(hierarchy.colour_walk(lists(src[~told], dst[~told], len(ids)))[0], np.int64)
+    n = int(comp.max()) + 1
+    comp = n - 1 - comp  # callers before what they call
+    size = np.zeros(n, np.int64)
+    np.add.at(size, comp, weight)
+    pairs = np.unique(comp[src] * n + comp[dst])
+    a, b = pairs // n, pairs % n
+    parents, sizes = lists(b[a != b], a[a != b], n), size.tolist()
+    callers = [x if x > 1 else 0 for x in sizes]
+    width = max(64, BITS_AT_ONCE // n)
+    for low in range(0, n, width):
+        high, bits = min(n, low + width), [0] * n
+        digits = [(k, mask) for k in range(max(sizes[low:high]).bit_length()) if (mask := int("".join("1" if x >> k & 1 else "0" for x in reversed(sizes[low:high])), 2))]
+        for v in range(low, n):
+            m = 0
+            for p in parents[v]:
+                if p >= low:
+                    m |= bits[p] | 1 << p - low if p < high else bits[p]
+            if m:
+                bits[v] = m
+                callers[v] += sum((m & mask).bit_count() << k for k, mask in digits)
+    return pa.table({"node": ids, "callers": np.array(callers, np.int64)[comp]})
+
+
+def _counted_at_once(edges: DataFrame, part: Column) -> DataFrame:
+    """(node, callers) of the parts of a graph (src, dst, size), each in one task."""
+    return edges.select("src", "dst", "size", part.alias("part")).groupBy("part").applyInArrow(_count_callers, _COUNTS)
+
+
+def _counted_by_joins(adj: DataFrame, limit: int) -> DataFrame:
+    """(node, callers) of a graph too large for one task. Nodes on common cycles have the same callers, so each strongly
+    connected component becomes one node; if the edges left are still too many for one task, pairs are made between
+    components. What lies below the largest has all that lies above it as callers: that share is counted once, without pairs."""
+    rings = cut(hierarchy.find_cycles(adj, limit).select("node", "cycle"))
     sizes = cut(rings.groupBy("cycle").agg(F.count(F.lit(1)).alias("size")))
     dag = adj
     for end in ("src", "dst"):
         dag = lookup_join(dag, rings.select(F.col("node").alias(end), "cycle"), end).withColumn(end, F.coalesce("cycle", end)).drop("cycle")
     dag = cut(dag.where("src <> dst").select("src", "dst").distinct())
+    placed = adj.select(F.col("dst").alias("node")).distinct().join(rings, "node", "left").select("node", F.coalesce("cycle", "node").alias("part"))
+    if dag.count() <= limit:
+        own = sizes.select(F.col("cycle").alias("src"), F.col("cycle").alias("dst"), "size")
+        total = _counted_at_once(dag.withColumn("size", F.lit(1).cast("long")).unionByName(own), F.lit(0)).withColumnRenamed("node", "part")
+        return lookup_join(placed, total, "part", "inner").select("node", "callers")
     largest = sizes.orderBy(F.desc("size"), "cycle").select(F.col("cycle").alias("id")).limit(1)
     above = cut(distances(dag.select(F.col("dst").alias("src"), F.col("src").alias("dst")), largest, None).select(F.col("node").alias("caller"), F.lit(True).alias("above")))
     below = cut(distances(dag, largest, None).where("depth > 0").select(F.col("node").alias("id"), F.lit(True).alias("below")))
@@ -239,10 +296,37 @@ def impact(edges: DataFrame) -> DataFrame:
     single = lookup_join(reach, weight, "caller").groupBy("id").agg(F.sum(size).alias("n"))
     shared = below.select("id").crossJoin(F.broadcast(above.join(weight, "caller", "left").agg(F.coalesce(F.sum(size), F.lit(0)).alias("n"))))
     own = sizes.select(F.col("cycle").alias("id"), F.col("size").alias("n"))
-    total = single.unionByName(shared).unionByName(own).groupBy("id").agg((F.sum("n") - 1).alias("transitive"))
-    direct = adj.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("direct"))
-    placed = direct.join(rings.withColumnRenamed("node", "id"), "id", "left").select("id", "direct", F.coalesce("cycle", "id").alias("part"))
-    return lookup_join(placed, total.withColumnRenamed("id", "part"), "part", "inner").select("id", "direct", "transitive", (F.col("direct") + 0.5 * F.col("transitive")).alias("score"))
+    total = single.unionByName(shared).unionByName(own).groupBy(F.col("id").alias("part")).agg(F.sum("n").alias("callers"))
+    return lookup_join(placed, total, "part", "inner").select("node", "callers")
+
+
+def impact(edges: DataFrame, nodes: DataFrame | None = None, max_colocated_edges: int = hierarchy.MAX_COLOCATED_EDGES) -> DataFrame:
+    """(id, direct, transitive, score): of each called node its callers, all that call it through others (less one, as the
+    number has always been reported), and direct + transitive/2. Chains of calls may have any length. nodes (id, each once):
+    only edges between these count; without, all do.
+
+    Nodes are numbered and edges carry numbers. Up to max_colocated_edges are counted in one task; of more, each connected
+    component in a task of its own, and components of more edges than that by joins. No pairs of nodes leave a task."""
+    plain = cut(edges.select("src", "dst").where("src <> dst"))
+    nodes = plain.select(F.explode(F.array("src", "dst")).alias("id")).distinct() if nodes is None else nodes
+    names = cut(nodes.select("id", F.monotonically_increasing_id().alias("node")))
+    hot = {end: hot_list(plain, end) for end in ("src", "dst")}
+    adj = plain
+    for end in ("src", "dst"):
+        adj = lookup_join(adj, names.select(F.col("id").alias(end), "node"), end, "inner", hot[end]).drop(end).withColumnRenamed("node", end)
+    adj = cut(adj.select("src", "dst").distinct())
+    sized = adj.withColumn("size", F.lit(1).cast("long"))
+    if adj.count() <= max_colocated_edges:
+        callers = _counted_at_once(sized, F.lit(0))
+    else:
+        tagged = cut(sized.join(hierarchy.components(adj).withColumnRenamed("node", "src"), "src"))
+        large = cut(tagged.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_colocated_edges).select("component"))
+        callers = _counted_at_once(tagged.join(large, "component", "left_anti"), F.col("component"))
+        if not large.isEmpty():
+            callers = callers.unionByName(_counted_by_joins(cut(tagged.join(large, "component", "left_semi").select("src", "dst")), max_colocated_edges))
+    direct = adj.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("direct"))
+    both = direct.join(callers, "node").join(names, "node").select("id", "direct", (F.col("callers") - 1).alias("transitive"))
+    return both.select("id", "direct", "transitive", (F.col("direct") + 0.5 * F.col("transitive")).alias("score"))
 
 
 def impact_top(impacts: DataFrame, n: int = 20) -> DataFrame:

@@ -110,11 +110,8 @@ def colour_walk(targets: list[list[int]]) -> tuple[list[int], list[tuple[int, in
     return comp, backs
 
 
-_CYCLES = pa.schema([("node", pa.string()), ("cycle", pa.string()), ("back_to", pa.list_(pa.string()))])
-
-
 def _component_cycles(rows: pa.Table) -> pa.Table:
-    src, dst = rows["src"].to_pylist(), rows["dst"].to_pylist()
+    src, dst, kind = rows["src"].to_pylist(), rows["dst"].to_pylist(), rows["src"].type
     ids = sorted({*src, *dst})
     at = {x: i for i, x in enumerate(ids)}
     targets: list[list[int]] = [[] for _ in ids]
@@ -122,16 +119,16 @@ def _component_cycles(rows: pa.Table) -> pa.Table:
         targets[at[s]].append(at[d])
     comp, backs = colour_walk(targets)
     size: dict[int, int] = {}
-    first: dict[int, str] = {}
+    first: dict[int, str | int] = {}
     for i, c in enumerate(comp):
         size[c] = size.get(c, 0) + 1
         first.setdefault(c, ids[i])
     selfs = {v for v, w in backs if v == w}
-    back_to: dict[int, list[str]] = {}
+    back_to: dict[int, list[str | int]] = {}
     for v, w in backs:
         back_to.setdefault(v, []).append(ids[w])
     on = [i for i, c in enumerate(comp) if size[c] > 1 or i in selfs]
-    return pa.table({"node": [ids[i] for i in on], "cycle": [first[comp[i]] for i in on], "back_to": [back_to.get(i, []) for i in on]}, _CYCLES)
+    return pa.table({"node": [ids[i] for i in on], "cycle": [first[comp[i]] for i in on], "back_to": [back_to.get(i, []) for i in on]}, pa.schema([("node", kind), ("cycle", kind), ("back_to", pa.list_(kind))]))
 
 
 def _contract(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
@@ -216,24 +213,24 @@ def _large_cycles(edges: DataFrame) -> DataFrame:
         far = far.unionByName(frontier)
     closing = inner.join(far.select(F.col("node").alias("src"), F.col("depth").alias("d0")), "src").join(far.select(F.col("node").alias("dst"), F.col("depth").alias("d1")), "dst").where("d1 <= d0")
     backs = closing.groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_set("dst")).alias("back_to"))
-    return label.join(backs, "node", "left").select("node", "cycle", F.coalesce("back_to", F.array().cast("array<string>")).alias("back_to"))
+    return label.join(backs, "node", "left").select("node", "cycle", F.coalesce("back_to", F.array().cast(backs.schema["back_to"].dataType)).alias("back_to"))
 
 
 def find_cycles(edges: DataFrame, max_colocated_edges: int = MAX_COLOCATED_EDGES) -> DataFrame:
-    """(node, cycle, back_to): the nodes that lie on a cycle, the smallest node of their strongly connected component, and
+    """(node, cycle, back_to), ids or numbers as in edges: the nodes that lie on a cycle, the smallest node of their strongly connected component, and
     where back edges lead from them: edges without which no cycle is left.
 
     Peels off what cannot be on a cycle, finds the connected components of the rest, and co-locates each for a depth-first
     walk with node colouring; back edges lead to a node on the walk's path. A component of more than max_colocated_edges is
     never gathered in one task: it is worked on by joins, with the same nodes and cycles, and its back edges are those
     that lead no further from the cycle's smallest node."""
-    core = peel(edges)
+    core, kind = peel(edges), edges.schema["src"].dataType.simpleString()
     if core.isEmpty():
-        return core.select(F.col("src").alias("node"), F.col("src").alias("cycle"), F.array().cast("array<string>").alias("back_to"))
+        return core.select(F.col("src").alias("node"), F.col("src").alias("cycle"), F.array().cast(f"array<{kind}>").alias("back_to"))
     comp = components(core)
     tagged = cut(core.join(comp.withColumnRenamed("node", "src"), "src"))
     large = cut(tagged.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_colocated_edges).select("component"))
-    out = tagged.join(large, "component", "left_anti").groupBy("component").applyInArrow(_component_cycles, "node string, cycle string, back_to array<string>")
+    out = tagged.join(large, "component", "left_anti").groupBy("component").applyInArrow(_component_cycles, f"node {kind}, cycle {kind}, back_to array<{kind}>")
     return out if large.isEmpty() else out.unionByName(_large_cycles(tagged.join(large, "component", "left_semi").select("src", "dst")))
 
 

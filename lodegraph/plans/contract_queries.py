@@ -11,7 +11,7 @@ from ..sources import files as source_files
 from ..sources.filters import filter_stats, glob_regex, source_only
 from ..streaming import events as ev
 from ..tables import table
-from .graph_queries import CALLS, EXT, HUB, REPOS, SIM, WITH, _rules_sql, _task_score, _weights, calls, ents, hub, query, rels, repos, scored
+from .graph_queries import CALLS, EXT, HUB, REPOS, SIM, WITH, _rules_sql, _task_score, _weights, call_impacts, calls, ents, hub, query, rels, repos, scored
 
 RECURSIVE = WITH.replace("with ", "with recursive ", 1)
 NOW = "2026-01-01 00:00:00"
@@ -176,7 +176,7 @@ def full_call_nodes(s, d):
 @query(RECURSIVE + CLOSURE + "select id, direct, transitive, direct + 0.5::double * transitive as score from imp")
 def call_impact(s, d):
     """Impact of called functions over the whole call graph."""
-    return graph.impact(calls(s, d))
+    return call_impacts(s, d)
 
 
 @query(RECURSIVE + CLOSURE + "select id, direct + 0.5::double * transitive as score, row_number() over (order by direct + 0.5::double * transitive desc, id)::int as rank from imp qualify rank <= 20")

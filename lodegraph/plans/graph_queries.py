@@ -263,6 +263,11 @@ def calls(s, d):
     return graph.resolvable(rels(s, d).where("type = 'CALLS'"), e.where(F.col("entity_type").isin("FUNCTION", "METHOD")))
 
 
+def call_impacts(s, d):
+    """Impact of functions over the call graph. The ends of calls are looked up among the functions as they are numbered."""
+    return graph.impact(rels(s, d).where("type = 'CALLS'"), ents(s, d).where(F.col("entity_type").isin("FUNCTION", "METHOD")).select("id"))
+
+
 @query(WITH + CALLS + "select f.id, f.name, coalesce(o.n, 0) as callees, coalesce(i.n, 0) as callers, coalesce(i.m, 0) as call_count, coalesce(o.rec, 0) = 1 as is_recursive from f left join (select src, count(distinct dst) as n, max((src = dst)::int) as rec from c group by src) o on o.src = f.id left join (select dst, count(distinct src) as n, count(*) as m from c group by dst) i on i.dst = f.id")
 def call_nodes(s, d):
     return graph.call_nodes(ents(s, d), rels(s, d))

@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from lodegraph.operators import graph
 from lodegraph.plans import contract_queries, graph_queries
 
@@ -71,3 +73,65 @@ def test_graph_components_are_over_all_relationships(spark, monkeypatch):
     monkeypatch.setattr(graph_queries, "rels", lambda s, d: rels)
     got = {r.node: r.component for r in graph_queries.graph_components(spark, "").collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "d": "a", "e": "e", "f": "e", "g": "g"}
+
+
+def hubs(copies, wide=40):
+    """Graphs apart from each other, each of callers above a ring and functions below it."""
+    out = []
+    for k in range(copies):
+        ring = [f"{k}r{i}" for i in range(3)]
+        out += [(f"{k}a{i:02}", ring[i % 3]) for i in range(wide)] + [(ring[i % 3], f"{k}z{i:02}") for i in range(wide)] + list(zip(ring, ring[1:] + ring[:1]))
+    return out
+
+
+def written(monkeypatch):
+    """The rows of every level that operators write."""
+    rows, cut = [], graph.cut
+
+    def counted(df):
+        df = cut(df)
+        rows.append(df.count())
+        return df
+
+    monkeypatch.setattr(graph, "cut", counted)
+    return rows
+
+
+def over_calls(spark, monkeypatch, edges):
+    ents, rels = functions_and_calls(spark, sorted({x for e in edges for x in e}), edges)
+    monkeypatch.setattr(graph_queries, "ents", lambda s, d: ents)
+    monkeypatch.setattr(graph_queries, "rels", lambda s, d: rels)
+
+
+def test_call_impact_writes_no_pairs(spark, monkeypatch):
+    edges = hubs(3)
+    over_calls(spark, monkeypatch, edges)
+    rows = written(monkeypatch)
+    assert {r.id: (r.direct, r.transitive, r.score) for r in contract_queries.call_impact(spark, "").collect()} == brute_impact(edges)
+    assert max(rows) <= len(edges)
+
+
+def test_impact_is_the_same_by_task_component_and_joins(spark):
+    rnd = random.Random(7)
+    edges = [(f"n{rnd.randrange(60):02}", f"n{rnd.randrange(60):02}") for _ in range(70)] + hubs(1, 5) + [("x", "y"), ("y", "x"), ("self", "self")]
+    want, df = brute_impact(edges), spark.createDataFrame(edges, "src string, dst string")
+    for limit in (100, 20, 4):
+        assert {r.id: (r.direct, r.transitive, r.score) for r in graph.impact(df, max_colocated_edges=limit).collect()} == want
+
+
+def test_impact_of_a_large_ring_with_few_calls_out_of_it(spark):
+    ring = [f"r{i}" for i in range(5)]
+    edges = [*zip(ring, ring[1:] + ring[:1]), ("a", "r3"), ("r2", "z"), ("z", "y"), ("x", "y")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    assert {r.id: (r.direct, r.transitive, r.score) for r in graph.impact(df, max_colocated_edges=4).collect()} == brute_impact(edges)
+
+
+def test_callers_counted_in_blocks(monkeypatch):
+    rnd = random.Random(3)
+    edges = sorted({(rnd.randrange(300), rnd.randrange(300)) for _ in range(420)} - {(i, i) for i in range(300)})
+    table = pa.table({"src": [a for a, _ in edges], "dst": [b for _, b in edges], "size": [1] * len(edges)})
+    want = {x: t + 1 for x, (_, t, _) in brute_impact(edges).items()}
+    for bits in (1, graph.BITS_AT_ONCE):
+        monkeypatch.setattr(graph, "BITS_AT_ONCE", bits)
+        got = graph._count_callers(table).to_pydict()
+        assert {x: n for x, n in zip(got["node"], got["callers"]) if n} == want
