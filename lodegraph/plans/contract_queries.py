@@ -186,7 +186,7 @@ def impact_top(s, d):
 
 @query(RECURSIVE + CLOSURE + "select id from imp where direct > 3 or transitive > 10")
 def critical_functions(s, d):
-    return graph.critical(graph.impact(calls(s, d))).select("id")
+    return graph.critical(call_impacts(s, d)).select("id")
 
 
 @query(

@@ -111,6 +111,14 @@ def test_call_impact_writes_no_pairs(spark, monkeypatch):
     assert max(rows) <= len(edges)
 
 
+def test_critical_functions_write_no_pairs(spark, monkeypatch):
+    edges = hubs(3)
+    over_calls(spark, monkeypatch, edges)
+    rows = written(monkeypatch)
+    assert {r.id for r in contract_queries.critical_functions(spark, "").collect()} == {x for x, (direct, more, _) in brute_impact(edges).items() if direct > 3 or more > 10}
+    assert max(rows) <= len(edges)
+
+
 def test_impact_is_the_same_by_task_component_and_joins(spark):
     rnd = random.Random(7)
     edges = [(f"n{rnd.randrange(60):02}", f"n{rnd.randrange(60):02}") for _ in range(70)] + hubs(1, 5) + [("x", "y"), ("y", "x"), ("self", "self")]
