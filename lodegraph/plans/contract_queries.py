@@ -181,7 +181,7 @@ def call_impact(s, d):
 
 @query(RECURSIVE + CLOSURE + "select id, direct + 0.5::double * transitive as score, row_number() over (order by direct + 0.5::double * transitive desc, id)::int as rank from imp qualify rank <= 20")
 def impact_top(s, d):
-    return graph.impact_top(graph.impact(calls(s, d)), 20)
+    return graph.impact_top(call_impacts(s, d), 20)
 
 
 @query(RECURSIVE + CLOSURE + "select id from imp where direct > 3 or transitive > 10")

@@ -119,6 +119,15 @@ def test_critical_functions_write_no_pairs(spark, monkeypatch):
     assert max(rows) <= len(edges)
 
 
+def test_impact_top_writes_no_pairs(spark, monkeypatch):
+    edges = hubs(3)
+    over_calls(spark, monkeypatch, edges)
+    rows = written(monkeypatch)
+    best = sorted((-score, x) for x, (_, _, score) in brute_impact(edges).items())[:20]
+    assert [(r.id, r.score, r["rank"]) for r in contract_queries.impact_top(spark, "").orderBy("rank").collect()] == [(x, -s, k) for k, (s, x) in enumerate(best, 1)]
+    assert max(rows) <= len(edges)
+
+
 def test_impact_is_the_same_by_task_component_and_joins(spark):
     rnd = random.Random(7)
     edges = [(f"n{rnd.randrange(60):02}", f"n{rnd.randrange(60):02}") for _ in range(70)] + hubs(1, 5) + [("x", "y"), ("y", "x"), ("self", "self")]
